@@ -11,6 +11,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Where the installed public tokenizers keep the file ``name``; the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def held_out() -> Column:
     """Whether a document's labels are kept from learning: crc32 of its id as text leaves 1 when divided by 3.
 
