@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import automaton, simhash
+from tidemark.llm import automaton, simhash, suffixes
 from tidemark.llm.tables import table, tokenizer
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document once repeated 400-byte strings are gone."""
+    made = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     made = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
@@ -23,6 +29,7 @@ def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
 }
