@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import automaton, simhash, suffixes
-from tidemark.llm.tables import table, tokenizer
+from tidemark.llm import automaton, language, mixing, simhash, suffixes
+from tidemark.llm.tables import held_out, table, tokenizer
+
+
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a mix at the target weights takes every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +23,13 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    made = language.predict(docs.drop("lang"), language.fit(docs))
+    return made.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     made = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
@@ -29,7 +42,9 @@ def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mix": op1_source_mix,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_language_id": op5_language_id,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
 }
