@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import automaton, language, mixing, simhash, suffixes
+from tidemark.llm import automaton, language, mixing, simhash, suffixes, vectors
 from tidemark.llm.tables import held_out, table, tokenizer
 
 
@@ -17,6 +17,12 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five rows with the highest integer inner products for every fiftieth vector."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vectors.top_k(rows, F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document once repeated 400-byte strings are gone."""
     made = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
@@ -41,12 +47,19 @@ def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors of one label with cosine 0.98 or more."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), 0.98)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
+    "op2_top_k": op2_top_k,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_language_id": op5_language_id,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
 }
 
 ORACLES: dict[str, str] = {}
