@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import automaton, language, mixing, simhash, suffixes, vectors
+from tidemark.llm import automaton, language, mixing, simhash, suffixes, tokencount, vectors
 from tidemark.llm.tables import held_out, table, tokenizer
 
 
@@ -47,6 +47,12 @@ def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.token_counts(docs, tokenizer("byte_bpe_50k.json"), limit=1024)
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of vectors of one label with cosine 0.98 or more."""
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), 0.98)
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
+    "op8_token_counts": op8_token_counts,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
 }
 

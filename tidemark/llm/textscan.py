@@ -104,7 +104,7 @@ def join_contractions(
     """
     at = np.flatnonzero((ends - starts == 1) & (codes[starts] == 39) & free)
     at = at[at + 1 < len(starts)]
-    at = at[kinds[starts[at + 1]] == LETTER]
+    at = at[(kinds[starts[at + 1]] == LETTER) & (starts[at + 1] == ends[at])]
     if not len(at):
         return starts, ends
     first = codes[starts[at + 1]]
