@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import automaton, language, mixing, simhash, suffixes, tokencount, vectors
+from tidemark.llm import automaton, language, mixing, quality, simhash, suffixes, tokencount, toxicity, vectors
 from tidemark.llm.tables import held_out, table, tokenizer
 
 
@@ -23,6 +23,12 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.top_k(rows, F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, learned from labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document once repeated 400-byte strings are gone."""
     made = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
@@ -58,15 +64,23 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), 0.98)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document, learned from labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), threshold=0.7)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_top_k": op2_top_k,
+    "op3_quality": op3_quality,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_language_id": op5_language_id,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
     "op8_token_counts": op8_token_counts,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
