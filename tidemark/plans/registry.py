@@ -38,7 +38,10 @@ def query(oracle: str | None = None, *roles: str):
         QUERIES[f.__name__] = f
         if oracle is not None:
             text = oracle.strip()
-            ORACLES[f.__name__] = (f"WITH {', '.join(roles)}" + (", " + text[5:] if text[:5].upper() == "WITH " else " " + text)) if roles else text
+            if roles:
+                head = "WITH RECURSIVE " if text.startswith("WITH RECURSIVE ") else "WITH "
+                text = head + ", ".join(roles) + (", " + text.removeprefix(head) if text.startswith(head) else " " + text)
+            ORACLES[f.__name__] = text
         return f
 
     return add
