@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tidemark.plans import image_queries, series_queries, text_queries, window_queries  # noqa: F401
+from tidemark.plans import image_queries, series_queries, stream_queries, text_queries, window_queries  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -1 +1,221 @@
-"""Queries."""
+"""Queries over questions, messages and documents' text."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tidemark.functions import text as T
+from tidemark.plans.registry import query
+from tidemark.sources.roles import table
+
+TEMPLATES = [
+    "Which fields within {n} m of the Nakatiya show unusual change?",
+    "Any new construction or clearing within {n} m of the Nakatiya in the city?",
+    "Show built-up change along the Nakatiya since 2016 within {n} m",
+    "Is the Nakatiya  flooding? Check water expansion within 0.{n} km",
+    "Trace the Nakatiya's course from origin to the Ramganga",
+    "How has the land within {n} m of the Nakatiya changed over the years?",
+    "Where is crop water stress in my area?",
+    "Build the scouting queue for this area",
+    "river corridors of 25 m, {n}m and 1.5 km in 1975, 1984 to 2030 and 2016",
+    "Do radar and optical agree?",
+    "NDVI trend here",
+    "scan plot {n}",
+    "green trees along the river",
+    "qila river please",
+    "what is this",
+    "nadi in 1990, 2001, 2010 and 2020",
+]
+
+
+def pick(options: list[str], key: str, number: str) -> Column:
+    """One of the options for each row by its key, with the row's number filled in."""
+    one = F.element_at(F.array(*map(F.lit, options)), (F.col(key) % len(options) + 1).cast("int"))
+    return F.replace(one, F.lit("{n}"), F.col(number).cast("string"))
+
+
+def pick_sql(options: list[str], key: str, number: str) -> str:
+    quoted = ", ".join("'" + o.replace("'", "''") + "'" for o in options)
+    return f"replace(list_extract([{quoted}], CAST({key}%{len(options)}+1 AS INT)), '{{n}}', CAST({number} AS VARCHAR))"
+
+
+def questions(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, question): a question for every part."""
+    p = table(spark, sf, "part")
+    return p.select(F.col("p_partkey").alias("id"), pick(TEMPLATES, "p_partkey", "p_size").alias("question"))
+
+
+QUESTIONS = f"qs AS (SELECT p_partkey AS id, {pick_sql(TEMPLATES, 'p_partkey', 'p_size')} AS question FROM part), q AS (SELECT id, question, trim(regexp_replace(lower(question),'\\s+',' ','g')) AS q FROM qs)"
+DIST_SQL = "list_transform(list_zip(regexp_extract_all(q,'(\\d+(?:\\.\\d+)?)\\s*(km|kilomet(?:er|re)s?|m|met(?:er|re)s?)\\b',1), regexp_extract_all(q,'(\\d+(?:\\.\\d+)?)\\s*(km|kilomet(?:er|re)s?|m|met(?:er|re)s?)\\b',2)), lambda x: CAST(x[1] AS DOUBLE)*CASE WHEN x[2] LIKE 'k%' THEN 1000.0 ELSE 1.0 END)"
+YEARS_SQL = "list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(q,'\\b(19[89]\\d|20[0-4]\\d)\\b',1), lambda y: CAST(y AS INT)), lambda y: y BETWEEN 1984 AND 2026)))"
+
+
+@query(f"SELECT id, array_to_string({DIST_SQL},',') AS metres FROM q", QUESTIONS)
+def parse_distances(spark: SparkSession, sf: str) -> DataFrame:
+    d = T.distances(T.tidy(F.col("question")))
+    return questions(spark, sf).select("id", F.concat_ws(",", d.cast("array<string>")).alias("metres"))
+
+
+@query(f"SELECT id, array_to_string({YEARS_SQL},',') AS years FROM q", QUESTIONS)
+def parse_years(spark: SparkSession, sf: str) -> DataFrame:
+    y = T.years(T.tidy(F.col("question")), 2026)
+    return questions(spark, sf).select("id", F.concat_ws(",", y.cast("array<string>")).alias("years"))
+
+
+def action_sql() -> str:
+    has = lambda w: f"regexp_matches(q,'{w}')"
+    river = has(T.RIVER)
+    rules = [(has("qila|kila|quila"), "qila"), (f"{river} AND {has(T.FIELDS)}", "river_fields"), (has(T.FLOOD), "river_flood")]
+    rules += [(f"{river} AND {has(w)}", n) for n, w in T.RIVER_ACTIONS]
+    rules += [(f"{river} AND len({DIST_SQL})>=2", "river_ladder"), (f"{river} AND ({has(T.HISTORY)} OR len({YEARS_SQL})>=3)", "river_timeline"), (river, "river_change")]
+    rules += [(has(w), n) for n, w in T.OTHER_ACTIONS]
+    return "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for c, n in rules) + " ELSE 'help' END"
+
+
+@query(f"SELECT id, {action_sql()} AS action FROM q", QUESTIONS)
+def parse_question_action(spark: SparkSession, sf: str) -> DataFrame:
+    return questions(spark, sf).select("id", T.action(F.col("question"), 2026).alias("action"))
+
+
+@query(
+    f"""SELECT id, CAST(CASE WHEN len(d)>0 THEN least(greatest(d[1],10),2000) ELSE 250 END AS INT) AS corridor, CAST(CASE WHEN len(y)>=2 THEN greatest(y[1],1990) WHEN len(y)=1 THEN greatest(y[1],1990) ELSE 2017 END AS INT) AS year_a,
+ CAST(CASE WHEN len(y)>=2 THEN least(y[len(y)],2026) ELSE 2026 END AS INT) AS year_b FROM (SELECT id, {DIST_SQL} AS d, {YEARS_SQL} AS y FROM q)""",
+    QUESTIONS,
+)
+def question_defaults(spark: SparkSession, sf: str) -> DataFrame:
+    """the corridor and the pair of years of a question, clamped, with defaults."""
+    q = T.tidy(F.col("question"))
+    d = questions(spark, sf).select("id", T.distances(q).alias("d"), T.years(q, 2026).alias("y"))
+    first, last = F.try_element_at("y", F.lit(1)), F.try_element_at("y", F.lit(-1))
+    corridor = F.coalesce(F.least(F.greatest(F.try_element_at("d", F.lit(1)), F.lit(10.0)), F.lit(2000.0)), F.lit(250.0)).cast("int")
+    corridor = F.when(F.size("d") > 0, corridor).otherwise(250)
+    a = F.when(F.size("y") >= 1, F.greatest(first, F.lit(1990))).otherwise(2017)
+    b = F.when(F.size("y") >= 2, F.least(last, F.lit(2026))).otherwise(2026)
+    return d.select("id", corridor.alias("corridor"), a.alias("year_a"), b.alias("year_b"))
+
+
+MESSAGES = [
+    "HTTP response code: 403 for {n}",
+    "HTTP error code: 404",
+    "Request for 1-2 failed with response_code=503",
+    "Operation too slow after {n} s",
+    "Connection timed out after {n} ms",
+    "Could not resolve host: a.b",
+    "got 10 bytes, expected {n}",
+    "ZIPDecode: error at scanline {n}",
+    "response_code=206",
+    "HTTP response code: 500",
+    "something odd {n}",
+    "HTTP response code: 429",
+]
+KINDS = [
+    ("stalled", "Operation too slow"),
+    ("timeout", "timed out|Timeout was reached"),
+    ("network", "[Cc]ould not resolve|Couldn.t resolve|Connection reset|Connection refused|SSL|Recv failure|Send failure|Failed to connect"),
+    ("truncated", r"got \d+ bytes, expected \d+|Read error|partial file"),
+    ("decode", "[Dd]ecod|decompress|ZIPDecode|LZW|corrupt"),
+]
+CODE = r"HTTP response code: (\d{3})|HTTP error code: (\d{3})|response_code=(\d+)"
+CODES = {403: "forbidden", 409: "forbidden", 404: "not_found", 429: "throttled", 503: "throttled", 500: "server", 502: "server", 504: "server"}
+
+
+@query(
+    f"""WITH m AS (SELECT event_id AS id, {pick_sql(MESSAGES, 'event_id', 'user_id')} AS m FROM events), s AS (SELECT id, m, TRY_CAST(coalesce(nullif(regexp_extract(m,'HTTP response code: (\\d{{3}})',1),''),nullif(regexp_extract(m,'HTTP error code: (\\d{{3}})',1),''),nullif(regexp_extract(m,'response_code=(\\d+)',1),'')) AS INT) AS status FROM m)
+ SELECT id, status, CASE """
+    + " ".join(f"WHEN status={c} THEN '{k}'" for c, k in CODES.items())
+    + " WHEN status>=500 THEN 'server' WHEN status>=400 THEN 'io' "
+    + " ".join(f"WHEN regexp_matches(m,'{p}') THEN '{k}'" for k, p in KINDS)
+    + " WHEN status=206 THEN 'truncated' ELSE 'error' END AS kind FROM s"
+)
+def classify_error(spark: SparkSession, sf: str) -> DataFrame:
+    """a failed read's status and kind: known statuses first, then wordings in order."""
+    m = table(spark, sf, "events").select(F.col("event_id").alias("id"), pick(MESSAGES, "event_id", "user_id").alias("m"))
+    found = F.coalesce(*[F.nullif(F.regexp_extract("m", CODE, i), F.lit("")) for i in (1, 2, 3)]).cast("int")
+    m = m.withColumn("status", found)
+    kind = None
+    for code, name in CODES.items():
+        kind = F.when(F.col("status") == code, name) if kind is None else kind.when(F.col("status") == code, name)
+    kind = kind.when(F.col("status") >= 500, "server").when(F.col("status") >= 400, "io")
+    for name, words in KINDS:
+        kind = kind.when(F.regexp_like("m", F.lit(words)), name)
+    return m.select("id", "status", kind.when(F.col("status") == 206, "truncated").otherwise("error").alias("kind"))
+
+
+@query("SELECT page_id, regexp_replace(url,'^https?://(?:[^/]*/)*([^/?]*)(\\?.*)?$','\\1') AS file FROM pages")
+def sanitise_url(spark: SparkSession, sf: str) -> DataFrame:
+    """the file name that a page's address ends with."""
+    return table(spark, sf, "pages").select("page_id", F.regexp_replace("url", r"^https?://(?:[^/]*/)*([^/?]*)(\?.*)?$", "$1").alias("file"))
+
+
+@query(
+    """WITH t AS (SELECT l_orderkey AS id, replace(string_agg(CAST(CAST(l_quantity AS INT) AS VARCHAR), '|' ORDER BY l_linenumber), '|', CASE WHEN l_orderkey%3=0 THEN '; ' WHEN l_orderkey%3=1 THEN ', ' ELSE ' ' END)||CASE WHEN l_orderkey%10=0 THEN ' x' ELSE '' END AS t FROM lineitem GROUP BY l_orderkey),
+ p AS (SELECT id, list_transform(string_split(trim(regexp_replace(t,'[,;\\s]+',' ','g')),' '), lambda x: TRY_CAST(x AS DOUBLE)) AS n FROM t)
+ SELECT id, CAST(CASE WHEN len(list_filter(n, lambda x: x IS NULL))=0 THEN len(n) END AS INT) AS count, CASE WHEN len(list_filter(n, lambda x: x IS NULL))=0 THEN list_sum(n) END AS total FROM p"""
+)
+def parse_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """lists written with several separators; a list with anything else is null."""
+    sep = F.element_at(F.array(F.lit("; "), F.lit(", "), F.lit(" ")), (F.col("l_orderkey") % 3 + 1).cast("int"))
+    li = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").cast("string").alias("v")))).alias("x"))
+    text = F.concat(F.array_join("x.v", "|"), F.when(F.col("l_orderkey") % 10 == 0, " x").otherwise(""))
+    n = li.select(F.col("l_orderkey").alias("id"), T.numbers(F.replace(text, F.lit("|"), sep)).alias("n"))
+    return n.select("id", F.when(F.col("n").isNotNull(), F.size("n")).alias("count"), F.aggregate("n", F.lit(0.0), lambda s, x: s + x).alias("total"))
+
+
+@query(
+    """SELECT c_custkey AS id, concat_ws('; ', CASE WHEN c_acctbal<0 THEN 'negative' END, CASE WHEN c_acctbal>=5000 THEN 'high' END, CASE WHEN c_nationkey IN (1,2,3) THEN 'near' END) AS notes, format('{:.1f}', CAST(c_custkey AS DOUBLE)/4) AS shown FROM customer""".replace(
+        "format('{:.1f}', CAST(c_custkey AS DOUBLE)/4)", "CAST(c_custkey//4 AS VARCHAR)||' / '||CAST(c_nationkey AS VARCHAR)"
+    )
+)
+def part_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """Notes that apply, in a fixed order."""
+    note = lambda c, t: F.when(c, t)
+    notes = F.concat_ws("; ", note(F.col("c_acctbal") < 0, "negative"), note(F.col("c_acctbal") >= 5000, "high"), note(F.col("c_nationkey").isin(1, 2, 3), "near"))
+    shown = F.concat(F.floor(F.col("c_custkey") / 4).cast("long").cast("string"), F.lit(" / "), F.col("c_nationkey").cast("string"))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), notes.alias("notes"), shown.alias("shown"))
+
+
+@query(
+    """SELECT segment, measure, round(v,2) AS value FROM (SELECT c_mktsegment AS segment, avg(c_acctbal) AS mean, max(c_acctbal) AS most, min(c_acctbal) AS least FROM customer GROUP BY 1) UNPIVOT (v FOR measure IN (mean, most, least))"""
+)
+def unpivot_melt(spark: SparkSession, sf: str) -> DataFrame:
+    a = table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.avg("c_acctbal").alias("mean"), F.max("c_acctbal").alias("most"), F.min("c_acctbal").alias("least"))
+    return a.unpivot("segment", ["mean", "most", "least"], "measure", "value").select("segment", "measure", F.round("value", 2).alias("value"))
+
+
+@query(
+    """SELECT event_id AS id, CAST(json_extract(props,'$.k') AS BIGINT) AS k, event_type AS kind FROM events WHERE CAST(json_extract(props,'$.k') AS BIGINT) IS NOT NULL"""
+)
+def json_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A map in JSON to rows."""
+    k = F.from_json("props", "map<string,bigint>")["k"]
+    return table(spark, sf, "events").select(F.col("event_id").alias("id"), k.alias("k"), F.col("event_type").alias("kind")).where("k is not null")
+
+
+@query(
+    """WITH y AS (SELECT CAST(year(o_orderdate) AS INT) AS year, round(sum(CAST(round(o_totalprice*100) AS BIGINT))/1e6,4) AS v FROM orders GROUP BY 1)
+ SELECT year, v FROM y WHERE year NOT BETWEEN 1997 AND 1998 UNION ALL SELECT year, v*2 FROM y WHERE year BETWEEN 1997 AND 1998"""
+)
+def replace_range(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of a range of years give way to new ones."""
+    y = table(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.round(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")) / 1e6, 4).alias("v"))
+    inside = F.col("year").between(1997, 1998)
+    return y.where(~inside).unionByName(y.where(inside).withColumn("v", F.col("v") * 2))
+
+
+@query(
+    """SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations) WHERE k=1"""
+)
+def keep_first(spark: SparkSession, sf: str) -> DataFrame:
+    """Of repeated keys the first row stays, by an explicit order."""
+    w = W.partitionBy("conv_id", "role").orderBy("turn")
+    return table(spark, sf, "conversations").withColumn("k", F.row_number().over(w)).where("k = 1").select("conv_id", "turn", "role")
+
+
+@query("SELECT r_name AS region, n_name AS nation FROM nation JOIN region ON n_regionkey=r_regionkey WHERE lower(r_name) IN ('asia','region_2') OR lower(n_name) LIKE '%1'")
+def lookup_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    """Lookup by a name in any case."""
+    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    hit = F.lower("r_name").isin("asia", "region_2") | F.lower("n_name").like("%1")
+    return n.where(hit).select(F.col("r_name").alias("region"), F.col("n_name").alias("nation"))
