@@ -45,6 +45,7 @@ class SegmentIndex:
 
     def __init__(self, vectors: np.ndarray, levels: tuple[int, ...] = (1, 4, 16)) -> None:
         self.vectors = vectors
+        self.top = float(np.abs(vectors).max(initial=0))
         levels = tuple(sorted({min(x, vectors.shape[1]) for x in levels if vectors.shape[1]}))
         self.forms = []
         for level in levels:
@@ -67,26 +68,37 @@ class SegmentIndex:
             scores = np.zeros(len(q), np.int64)
         else:
             scale = np.linalg.norm(other.vectors, axis=1)[:, None] * np.linalg.norm(self.vectors, axis=1)[None, :]
-            bound = other.forms[0] @ self.forms[0].T + 1e-9 * scale + 1e-6
-            bound[own[:, None] == ids[None, :]] = -np.inf
+            scale = 1e-9 * scale + 1e-6
+            same = own[:, None] == ids[None, :]
+            bound = other.forms[0] @ self.forms[0].T + scale
+            bound[same] = -np.inf
             m = min(k, bound.shape[1])
             lead = np.argpartition(-bound, m - 1, axis=1)[:, :m]
             q0 = np.repeat(np.arange(len(lead)), m)
             first = self.exact(other.vectors, q0, lead.ravel()).reshape(lead.shape).astype(float)
             first[~np.isfinite(np.take_along_axis(bound, lead, 1))] = -np.inf
             floor = first.min(axis=1) if m == k else np.full(len(lead), -np.inf)
-            q, c = np.nonzero((bound >= floor[:, None]) & np.isfinite(bound))
+            floor -= np.abs(floor) * 1e-12
+            alive = (bound >= floor[:, None]) & ~same
+            pairs = None  # the survivors one by one, once they are few
             for mine, theirs in zip(self.forms[1:], other.forms[1:]):
-                keep = np.empty(len(q), bool)
-                for i in range(0, len(q), 1 << 18):
-                    s = slice(i, i + (1 << 18))
-                    tight = np.einsum("ij,ij->i", theirs[q[s]], mine[c[s]]) + 1e-9 * scale[q[s], c[s]] + 1e-6
-                    keep[s] = tight >= floor[q[s]]
-                q, c = q[keep], c[keep]
-            scores = np.concatenate(
-                [self.exact(other.vectors, q[i : i + (1 << 18)], c[i : i + (1 << 18)]) for i in range(0, len(q), 1 << 18)]
-                or [np.zeros(0, np.int64)]
-            )
+                if pairs is None and alive.mean() < 0.05:
+                    pairs = np.nonzero(alive)
+                if pairs is None:
+                    alive &= theirs @ mine.T + scale >= floor[:, None]
+                else:
+                    q, c = pairs
+                    tight = np.einsum("ij,ij->i", theirs[q], mine[c]) + scale[q, c]
+                    keep = tight >= floor[q]
+                    pairs = q[keep], c[keep]
+            small = self.top * other.top * self.vectors.shape[1] < 2.0**53
+            if pairs is None and small and m == k and alive.mean() >= 0.05:
+                dense = np.where(alive, other.vectors @ self.vectors.T, -np.inf)
+                q, c = np.nonzero((dense >= np.partition(dense, -k, axis=1)[:, -k][:, None]) & alive)
+            else:
+                q, c = np.nonzero(alive) if pairs is None else pairs
+            steps = range(0, len(q), 1 << 18)
+            scores = np.concatenate([self.exact(other.vectors, q[i : i + (1 << 18)], c[i : i + (1 << 18)]) for i in steps] or [np.zeros(0, np.int64)])
         order = np.lexsort((ids[c], ~scores, q))
         q, c, scores = q[order], c[order], scores[order]
         starts = np.searchsorted(q, np.arange(len(own)))
