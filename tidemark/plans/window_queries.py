@@ -11,12 +11,15 @@ from tidemark.plans.registry import FLOW, RAIN, SCENES, query
 from tidemark.plans.series_queries import r
 from tidemark.sources.roles import daily_flow, daily_rain, scenes, table
 
-SEG = W.partitionBy("segment").orderBy("date")
+
+def seg():
+    """A segment's days in order."""
+    return W.partitionBy("segment").orderBy("date")
 
 
 @query("SELECT segment, date, round(CASE WHEN count(*) OVER w=7 THEN avg(flow) OVER w END,7) AS mean7 FROM flow WINDOW w AS (PARTITION BY segment ORDER BY date ROWS 6 PRECEDING)", FLOW)
 def window_7day_low(spark: SparkSession, sf: str) -> DataFrame:
-    return daily_flow(spark, sf).select("segment", "date", F.round(O.full(F.avg("flow"), "flow", SEG.rowsBetween(-6, 0), 7), 7).alias("mean7"))
+    return daily_flow(spark, sf).select("segment", "date", F.round(O.full(F.avg("flow"), "flow", seg().rowsBetween(-6, 0), 7), 7).alias("mean7"))
 
 
 @query("SELECT cell, date, round(coalesce(CASE WHEN count(*) OVER w=5 THEN sum(rain) OVER w END,0),3) AS before FROM rain WINDOW w AS (PARTITION BY cell ORDER BY date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)", RAIN)
@@ -43,10 +46,10 @@ def first_difference(spark: SparkSession, sf: str) -> DataFrame:
 )
 def feature_lags(spark: SparkSession, sf: str) -> DataFrame:
     d = daily_flow(spark, sf).withColumn("q", F.log1p("flow"))
-    lag = lambda k: F.round(F.lag("q", k).over(SEG), 5).alias(f"lag{k}")
-    wide = lambda f, k: O.full(f("q"), "q", SEG.rowsBetween(1 - k, 0), k)
+    lag = lambda k: F.round(F.lag("q", k).over(seg()), 5).alias(f"lag{k}")
+    wide = lambda f, k: O.full(f("q"), "q", seg().rowsBetween(1 - k, 0), k)
     return d.select(
-        "segment", "date", lag(1), lag(7), lag(30), F.round(F.col("q") - F.lag("q", 3).over(SEG), 5).alias("trend3"),
+        "segment", "date", lag(1), lag(7), lag(30), F.round(F.col("q") - F.lag("q", 3).over(seg()), 5).alias("trend3"),
         F.round(wide(F.max, 7), 5).alias("max7"), F.round(wide(F.min, 30), 5).alias("min30"),
     )
 
@@ -282,7 +285,7 @@ def catalog_search(spark: SparkSession, sf: str) -> DataFrame:
 )
 def nse_kge_pbias(spark: SparkSession, sf: str) -> DataFrame:
     """A57 in one pass over the days, with the means from a window of the same partitioning."""
-    d = daily_flow(spark, sf).select("segment", "date", F.col("flow").alias("obs"), F.lag("flow").over(SEG).alias("sim")).where("sim is not null")
+    d = daily_flow(spark, sf).select("segment", "date", F.col("flow").alias("obs"), F.lag("flow").over(seg()).alias("sim")).where("sim is not null")
     w = W.partitionBy("segment")
     lo, ls = F.log(F.col("obs") + 0.01), F.log(F.col("sim") + 0.01)
     d = d.withColumn("mo", F.avg("obs").over(w)).withColumn("lo", lo).withColumn("ls", ls).withColumn("ml", F.avg("lo").over(w))
@@ -304,7 +307,7 @@ BAND = """b AS (SELECT segment, date, flow AS obs, flow7*0.5 AS lo, flow7*1.5 AS
 
 def band(spark: SparkSession, sf: str) -> DataFrame:
     """A forecast from the week before, with a band of half to one and a half times."""
-    d = daily_flow(spark, sf).withColumn("mid", O.full(F.avg("flow"), "flow", SEG.rowsBetween(-7, -1), 7)).where("mid is not null")
+    d = daily_flow(spark, sf).withColumn("mid", O.full(F.avg("flow"), "flow", seg().rowsBetween(-7, -1), 7)).where("mid is not null")
     return d.select("segment", "date", F.col("flow").alias("obs"), (F.col("mid") * 0.5).alias("lo"), (F.col("mid") * 1.5).alias("hi"), "mid")
 
 
@@ -378,13 +381,13 @@ def lead_diagonal_join(spark: SparkSession, sf: str) -> DataFrame:
 )
 def sorted_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     """Three values of a row in order, so that bands never cross."""
-    d = daily_flow(spark, sf).select("segment", "date", F.array_sort(F.array("flow", F.lag("flow", 1, 0.0).over(SEG), F.lag("flow", 2, 0.0).over(SEG))).alias("q"))
+    d = daily_flow(spark, sf).select("segment", "date", F.array_sort(F.array("flow", F.lag("flow", 1, 0.0).over(seg()), F.lag("flow", 2, 0.0).over(seg()))).alias("q"))
     return d.select("segment", "date", *[F.round(F.element_at("q", i), 6).alias(n) for i, n in ((1, "low"), (2, "mid"), (3, "high"))])
 
 
 @query("SELECT segment, date, round(lag(flow,7) OVER w,6) AS persistence, round(lag(flow,7) OVER w*pow(0.97,7),6) AS recession FROM flow WINDOW w AS (PARTITION BY segment ORDER BY date)", FLOW)
 def persistence_recession(spark: SparkSession, sf: str) -> DataFrame:
-    q = F.lag("flow", 7).over(SEG)
+    q = F.lag("flow", 7).over(seg())
     return daily_flow(spark, sf).select("segment", "date", F.round(q, 6).alias("persistence"), F.round(q * 0.97**7, 6).alias("recession"))
 
 
