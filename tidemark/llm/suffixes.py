@@ -312,9 +312,9 @@ def repeated_spans(docs: DataFrame, length: int = 400, group: int = 100, ways: i
         f"doc_id {id_type}, text_key long, first int, last int, anchor int, core long, whole long",
     )
     cores = found.groupBy("core").agg(F.count("*").alias("n"), F.min("whole").alias("w0"), F.max("whole").alias("w1"))
-    shared = materialize(
-        found.join(cores.where("n > 1").select("core", (F.col("w0") == F.col("w1")).alias("uniform")), "core")
-    )
+    # Written first, so that the join reads plain rows on both sides and the rows of a hot anchor can be split.
+    cores = materialize(cores.where("n > 1").select("core", (F.col("w0") == F.col("w1")).alias("uniform")))
+    shared = materialize(found.join(cores, "core"))
     span = ["doc_id", "text_key", F.col("first").alias("start"), (F.col("last") + length).alias("stop")]
     spans = [shared.where("uniform").select(*span)]
 
@@ -329,7 +329,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, group: int = 100, ways: i
         spans.append(rows.join(twice, ["core", "whole"]).select(*span))
         alone = (F.col("n") == 1) & (F.col("single") if carried else F.lit(True))
         wanted = kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.bool_or(alone).alias("open"))
-        wanted = wanted.where("kinds > 1 and open").select("core", "kinds")
+        wanted = materialize(wanted.where("kinds > 1 and open").select("core", "kinds"))
         kept = [f"one.{f}" for f in fields if f != "alone"]
         return kinds.join(wanted, "core").select("core", "kinds", alone.alias("alone"), *kept)
 
