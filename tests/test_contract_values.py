@@ -86,8 +86,8 @@ def test_parsing(spark):
     assert one(spark, T.distances(F.lit("0.5 km or 100m"))) == [500.0, 100.0]
     assert one(spark, T.years(F.lit("1975, 1984 to 2030 and 2016"), 2026)) == [1984, 2016]
     cases = {
-        "Trace the Nakatiya's course from origin to the Ramganga": "river_course",
-        "Is the Nakatiya flooding?": "river_flood",
+        "Map the river from source to mouth": "river_course",
+        "Are the low plots waterlogged?": "river_flood",
         "Build the scouting queue for this area": "scout",
         "good morning": "help",
     }

@@ -11,14 +11,14 @@ from tidemark.plans.registry import query
 from tidemark.sources.roles import table
 
 TEMPLATES = [
-    "Which fields within {n} m of the Nakatiya show unusual change?",
-    "Any new construction or clearing within {n} m of the Nakatiya in the city?",
-    "Show built-up change along the Nakatiya since 2016 within {n} m",
-    "Is the Nakatiya  flooding? Check water expansion within 0.{n} km",
-    "Trace the Nakatiya's course from origin to the Ramganga",
-    "How has the land within {n} m of the Nakatiya changed over the years?",
-    "Where is crop water stress in my area?",
-    "Build the scouting queue for this area",
+    "fields up to {n} m from the river that look odd",
+    "a new kiln or dumping by the river this year, {n} m either side",
+    "built-up land by the stream since 2016, {n} m",
+    "did the  river overflow its banks within 0.{n} km",
+    "map the river from source to mouth",
+    "what became of the corridor of {n} m, decade by decade",
+    "is the wheat thirsty",
+    "which fields to visit first",
     "river corridors of 25 m, {n}m and 1.5 km in 1975, 1984 to 2030 and 2016",
     "Do radar and optical agree?",
     "NDVI trend here",
