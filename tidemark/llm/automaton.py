@@ -82,7 +82,7 @@ class TokenAutomaton:
         """Whether the state after a has the arc b."""
         known = self.table.get(a << 20 | b)
         if known is None:
-            if len(self.table) > 500_000:
+            if len(self.table) > 150_000:
                 self.table.clear()
             known = self.table[a << 20 | b] = self._open(a, b, len(self.labels) + len(self.cuts) + 1)
         return known
@@ -102,7 +102,7 @@ class TokenAutomaton:
         if not n:
             return []
         before, known = [-1] * n, self.prefixes
-        if len(known) > 400_000:
+        if len(known) > 100_000:
             known.clear()
         for stop in range(1, n):
             prefix = word[:stop] if short else None
@@ -140,7 +140,7 @@ class WordEncoder:
         self.marks = {i: s.encode("utf-8") for s, i in self.special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.symbols = byte_symbols()
-        self.words = textscan.WordIndex(500_000)
+        self.words = textscan.WordIndex(150_000)
         self.ids: list[bytes] = []
         self.shown: list[bytes] = []
 

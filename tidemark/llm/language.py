@@ -95,9 +95,13 @@ class Tagger:
     words: np.ndarray
     start: np.ndarray
     move: np.ndarray
-    index: textscan.WordIndex = field(default_factory=lambda: textscan.WordIndex(600_000), repr=False)
+    index: textscan.WordIndex = field(default_factory=lambda: textscan.WordIndex(200_000), repr=False)
     table: np.ndarray | None = field(default=None, repr=False)
 
+    def forget(self) -> None:
+        """Drop the words seen so far: a worker process keeps old models, and they must not keep their words."""
+        self.index, self.table = textscan.WordIndex(self.index.bound), None
+
     def emissions(self, words: Sequence[str]) -> np.ndarray:
         """The label scores that the words' own features give."""
         if not words:
@@ -113,7 +117,7 @@ class Tagger:
 
     def tag(self, texts: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each text: starts and ends of its words (runs of letters), and each word's label probabilities."""
-        for a, b in textscan.slices(texts, 2 << 20):
+        for a, b in textscan.slices(texts, 1 << 20):
             if self.index.begin() or self.table is None:
                 self.table = np.zeros((1 << 14, len(self.labels)))
             joined, codes, kinds, offsets = textscan.scan(texts[a:b])
@@ -247,15 +251,20 @@ def predict(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
-                made = shared.value.languages([t or "" for t in batch.column(1).to_pylist()])
+                texts = batch.column(0).field("text") if inside else batch.column(1)
+                made = tagger.languages([t or "" for t in texts.to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())],
                     names=["row", "lang_pred", "score"],
                 )
+        tagger.forget()
 
-    kind = docs.select(F.struct(*keep).alias("row")).schema["row"].dataType.simpleString()
-    made = docs.select(F.struct(*keep).alias("row"), "text").mapInArrow(work, f"row {kind}, lang_pred string, score double")
+    inside = "text" in keep
+    packed = docs.select(F.struct(*keep).alias("row"), *([] if inside else ["text"]))
+    kind = packed.schema["row"].dataType.simpleString()
+    made = packed.mapInArrow(work, f"row {kind}, lang_pred string, score double")
     return made.select("row.*", "lang_pred", "score")
