@@ -55,7 +55,7 @@ def test_removal_matches_brute_force(spark):
 def test_large_groups_are_split_and_stay_exact(spark, monkeypatch):
     texts = corpus(2, passage=25)
     whole = suffixes.repeated_spans
-    monkeypatch.setattr(suffixes, "repeated_spans", lambda d, n: whole(d, n, group=3, ways=3))
+    monkeypatch.setattr(suffixes, "repeated_spans", lambda d, n: whole(d, n, group=3, ways=3, most_broadcast=0))
     assert run(spark, texts, 60) == brute(texts, 60)
 
 

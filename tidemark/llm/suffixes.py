@@ -296,14 +296,17 @@ def _sort_groups(length: int, budget: int = 300_000):
     return work
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, group: int = 100, ways: int = 6) -> DataFrame:
+def repeated_spans(
+    docs: DataFrame, length: int = 400, group: int = 100, ways: int = 6, most_broadcast: int = 100_000
+) -> DataFrame:
     """``docs(doc_id, text_key, text)`` -> ``(doc_id, text_key, start, stop)``: byte spans of repeated windows.
 
     Spans may overlap. Windows of ``length`` bytes are gathered in ranges that share an anchor. Ranges that agree in
     every byte repeat as a whole and are one row from then on. Of anchors with different ranges the bytes are fetched,
     one copy of each, and their suffixes sorted. Anchors with more than ``group`` different ranges, as a common passage
     has at its ends, are split into ``ways`` shorter ranges, whose windows have more bytes in common, and counted anew,
-    down to single windows where need be: that is exact too, and no task gets a large group.
+    down to single windows where need be: that is exact too, and no task gets a large group. Up to ``most_broadcast``
+    kinds of ranges that repeat (16 bytes each) are broadcast, more are joined by sorting, where hot ones are split.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     seed = max(1, length * 5 // 16)
@@ -325,8 +328,9 @@ def repeated_spans(docs: DataFrame, length: int = 400, group: int = 100, ways: i
             F.count("*").alias("n"), F.min(F.struct(*fields)).alias("one"), *([F.bool_and("alone").alias("single")] if carried else [])
         )
         kinds = materialize(kinds)
-        twice = kinds.where("n > 1").select("core", "whole")
-        spans.append(rows.join(twice, ["core", "whole"]).select(*span))
+        twice = materialize(kinds.where("n > 1").select("core", "whole"))
+        few = twice.count() <= most_broadcast
+        spans.append(rows.join(F.broadcast(twice) if few else twice, ["core", "whole"]).select(*span))
         alone = (F.col("n") == 1) & (F.col("single") if carried else F.lit(True))
         wanted = kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.bool_or(alone).alias("open"))
         wanted = materialize(wanted.where("kinds > 1 and open").select("core", "kinds"))
