@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import automaton, language, mixing, simhash, suffixes
+from tidemark.llm import automaton, jaccard, language, mixing, suffixes
 from tidemark.llm.tables import tokenizer
 from tidemark.session import materialize
 
@@ -21,8 +21,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that SimHash links over shingles of five words, the smallest doc_id stays, once."""
-    found = simhash.near_duplicates(docs, words=5, radius=2)
+    """Of each group of documents linked by a Jaccard similarity of 0.8 over five words, the smallest doc_id stays, once."""
+    found = jaccard.near_duplicates(docs, words=5, least=0.8)
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
     kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
     return kept.withColumn("digest", F.xxhash64("text")).dropDuplicates(["doc_id", "digest"]).select(*docs.columns)
