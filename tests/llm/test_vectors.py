@@ -82,6 +82,20 @@ def test_every_link_is_right_and_few_are_missed(spark):
     assert len({r.component_id for r in got.values() if r.vec_id >= 1000}) == 1
 
 
+def test_pairs_at_the_least_cosine_share_a_filter_at_any_size():
+    rng = np.random.default_rng(4)
+    for n in (1_000, 100_000, 1_000_000, 10_000_000):
+        code = vectors.CapFilters(64, max(8, int(np.ceil((4.0 * n) ** 0.25))))
+        u, w = rng.normal(size=(2, 300, 64))
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        w -= (w * u).sum(axis=1, keepdims=True) * u
+        v = 0.98 * u + np.sqrt(1 - 0.98**2) * w / np.linalg.norm(w, axis=1, keepdims=True)
+        a, b = (code.decode(x, 40)[1].reshape(300, 40) for x in (u, v))
+        met = [bool(np.isin(x, y).any()) for x, y in zip(a, b)]
+        print("filters", n, np.mean(met))
+        assert np.mean(met) >= 0.99
+
+
 def test_recall_on_the_table(spark):
     table = ds.dataset("/root/testdata/sf0.1/embeddings.parquet").to_table().to_pydict()
     rows = list(zip(table["vec_id"], table["embedding"], table["label"]))

@@ -212,8 +212,8 @@ def top_k(
 
 class CapFilters:
     """Filters whose directions are tuples of short codes: the vector's coordinates are rotated and cut in parts, and
-    a direction takes one code word in each part. A vector passes the filters whose directions it exceeds ``height``
-    with; they are listed part by part, keeping only beginnings that can still get there."""
+    a direction takes one code word in each part. A vector passes a fixed number of filters, those it is nearest to;
+    they are listed part by part, keeping only as many beginnings, as no other can be among the best."""
 
     def __init__(self, dim: int, words: int, parts: int = 4, seed: int = 5) -> None:
         rng = np.random.default_rng([seed, dim, words])
@@ -230,36 +230,16 @@ class CapFilters:
         turned = unit @ self.rotation
         return [turned[:, a:b] @ c.T for a, b, c in zip(self.cuts, self.cuts[1:], self.codes)]
 
-    def decode(self, unit: np.ndarray, height: float) -> tuple[np.ndarray, np.ndarray]:
-        """Vector numbers and filter numbers of all filters that unit vectors exceed; the best one always counts."""
-        products = self.heights(unit)
-        rest = np.zeros(len(unit))
-        after = []
-        for p in reversed(products):
-            after.append(rest)
-            rest = rest + p.max(axis=1)
-        after = after[::-1]
-        goal = np.minimum(height, rest - 1e-12)
-        row, code, total = np.arange(len(unit)), np.zeros(len(unit), np.int64), np.zeros(len(unit))
-        for p, more in zip(products, after):
-            reach = total[:, None] + p[row]
-            i, w = np.nonzero(reach >= (goal - more)[row][:, None])
-            row, code, total = row[i], code[i] * self.words + w, reach[i, w]
-        return row, code
-
-    def height_for(self, expected: float, seed: int = 9) -> float:
-        """The height that a random unit vector exceeds ``expected`` filters with, on average."""
-        rng = np.random.default_rng([seed, self.rotation.shape[0], self.words])
-        probe = rng.normal(size=(200, self.rotation.shape[0]))
-        products = self.heights(probe / np.linalg.norm(probe, axis=1, keepdims=True))
-        picks = [rng.integers(0, self.words, 20_000) for _ in products]
-        sums = sum(p[:, w] for p, w in zip(products, picks)).ravel()
-        share = min(0.5, expected / float(self.words) ** self.parts)
-        if share * len(sums) >= 50:
-            return float(np.quantile(sums, 1 - share))
-        from statistics import NormalDist
-
-        return float(sums.std() * NormalDist().inv_cdf(1 - share))
+    def decode(self, unit: np.ndarray, quota: int) -> tuple[np.ndarray, np.ndarray]:
+        """Vector numbers and filter numbers of the ``quota`` filters, or all, that each unit vector is nearest to."""
+        total, code = np.zeros((len(unit), 1)), np.zeros((len(unit), 1), np.int64)
+        for p in self.heights(unit):
+            total = (total[:, :, None] + p[:, None, :]).reshape(len(unit), -1)
+            code = (code[:, :, None] * self.words + np.arange(self.words)).reshape(len(unit), -1)
+            if total.shape[1] > quota:
+                best = np.argpartition(-total, quota - 1, axis=1)[:, :quota]
+                total, code = np.take_along_axis(total, best, 1), np.take_along_axis(code, best, 1)
+        return np.repeat(np.arange(len(unit)), code.shape[1]), code.ravel()
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -284,10 +264,10 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield pa.concat_tables(held)
 
 
-def cosine_links(points: DataFrame, least: float, expected: float = 40.0, tile: int = 1024) -> DataFrame:
+def cosine_links(points: DataFrame, least: float, quota: int = 40, tile: int = 1024) -> DataFrame:
     """``points(label, point, v array<double> of norm 1)`` -> ``(label, a, b)`` with a < b, each linked pair once.
 
-    Points join on the filters they exceed. A filter with more than ``tile`` points is cut in tiles and every two tiles
+    Points join on the ``quota`` filters they are nearest to, as many for every point at any size. A filter with more than ``tile`` points is cut in tiles and every two tiles
     meet, so that no task gets a large one and none of its pairs is left out. The number of code words grows with the
     fourth root of the largest label's points, so that filters hold about as many at any size.
     """
@@ -295,20 +275,18 @@ def cosine_links(points: DataFrame, least: float, expected: float = 40.0, tile:
     shape = points.groupBy("label", F.size("v").alias("dim")).count().groupBy("dim").agg(F.max("count").alias("n")).collect()
     filters = {}
     for r in shape:
-        made = CapFilters(r["dim"], max(8, int(np.ceil((4.0 * r["n"]) ** 0.25))))
-        filters[r["dim"]] = (made, made.height_for(expected))
+        filters[r["dim"]] = CapFilters(r["dim"], max(8, int(np.ceil((4.0 * r["n"]) ** 0.25))))
     shared = spark.sparkContext.broadcast(filters)
 
     def pass_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
                 sizes = np.array(batch.column(2).value_lengths())
                 for dim in np.unique(sizes).tolist():
                     pick = np.flatnonzero(sizes == dim)
                     part = batch.take(pa.array(pick))
-                    code, height = shared.value[dim]
-                    row, number = code.decode(_matrix(part.column(2)), height)
+                    row, number = shared.value[dim].decode(_matrix(part.column(2)), quota)
                     taken = part.select([0, 1]).take(pa.array(row))
                     yield pa.RecordBatch.from_arrays(
                         [taken.column(0), taken.column(1), pa.array(np.full(len(row), dim, np.int32)), pa.array(number)],
