@@ -41,6 +41,18 @@ def test_encoding_is_the_librarys(spark):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def thue_morse(n, letters):
+    return "".join(letters[i.bit_count() % 2] for i in range(n))
+
+
+def test_long_words_whose_polynomial_hashes_collide():
+    library, encoder = Tokenizer.from_file(PATH), automaton.WordEncoder(PATH)
+    texts = [thue_morse(n, x) for n in (1024, 2048, 4096, 8192) for x in ("ab", "ba", "tq", "qt")]
+    for some in (texts, texts[::-1], [" ".join(texts)], *[[t] for t in texts]):
+        want = [library.encode(t, add_special_tokens=False).ids for t in some]
+        assert [ids.tolist() for ids, _ in encoder(some)] == want
+
+
 def test_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert automaton.encode_and_decode(docs, PATH, keep_ids=True).count() == 0

@@ -5,9 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import struct
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import cache
 
 import numpy as np
@@ -26,6 +25,26 @@ def byte_symbols() -> list[str]:
     return [names[b] for b in range(256)]
 
 
+class Arcs:
+    """A table from keys (a state and a symbol) to what they lead to, as sorted arrays; missing rows are worked out."""
+
+    def __init__(self) -> None:
+        self.keys, self.values = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def follow(self, keys: np.ndarray, work_out: Callable[[int], int]) -> np.ndarray:
+        """What ``keys`` lead to."""
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        if not known.all():
+            new = np.unique(keys[~known])
+            place = np.searchsorted(self.keys, new)
+            self.values = np.insert(self.values, place, [work_out(k) for k in new.tolist()])
+            self.keys = np.insert(self.keys, place, new)
+            at = np.searchsorted(self.keys, keys)
+        return self.values[at]
+
+
 class TokenAutomaton:
     """A deterministic automaton over tokens whose paths are exactly the encodings that the merges give.
 
@@ -38,35 +57,45 @@ class TokenAutomaton:
     All arcs with one label lead to one state, so states are named by tokens. States are not copied arc by arc: a
     token keeps the chain of states that its own was derived from (``leaves``), the chain of labels its arcs were
     derived from (``enters``), each with the merge that ended its part, and ``cuts`` the merge that took an arc out.
-    ``arc`` resolves one arc from these and writes it into the transition table.
+
+    Words are read symbol by symbol through transition tables of the automaton made deterministic over symbols. Of the
+    prefix read, such a state holds the longest end that may begin a token, and the token that the path has just read
+    at each place where one may begin. ``moves`` gives the next state, ``closes`` the token that a word's last symbol
+    ends; both are filled in where a walk first needs an arc. Beyond ``most`` states they start anew.
     """
 
-    def __init__(self, vocab: dict[str, int], merges: Sequence[tuple[str, str]], end: str = "</w>") -> None:
-        self.end, self.ids = end, vocab
+    def __init__(
+        self, vocab: dict[str, int], merges: Sequence[tuple[str, str]], end: str = "</w>", most: int = 150_000
+    ) -> None:
+        self.end, self.ids, self.most = end, vocab, most
         self.labels = {i: t for t, i in vocab.items()}
         never = len(merges)
-        self.leaves: dict[int, list[tuple[int, int]]] = {}
-        self.enters: dict[int, list[tuple[int, int]]] = {}
+        self.leaves: dict[int, tuple[tuple[int, int], ...]] = {}
+        self.enters: dict[int, tuple[tuple[int, int], ...]] = {}
         self.cuts: dict[tuple[int, int], int] = {}
-        self.table: dict[tuple[int, int], bool] = {}
         made = {a + b for a, b in merges}
         for token, i in vocab.items():
             if token not in made:
-                self.leaves[i] = self.enters[i] = [(i, never)]
+                self.leaves[i] = self.enters[i] = ((i, never),)
         for rank, (a, b) in enumerate(merges):
             a, b, c = vocab[a], vocab[b], vocab[a + b]
             if a in self.leaves and b in self.leaves and (a, b) not in self.cuts and self._open(a, b, rank):
-                self.leaves[c] = [(c, never), (b, rank), *self.leaves[b][1:]]
-                self.enters[c] = [(c, never), (a, rank), *self.enters[a][1:]]
+                self.leaves[c] = ((c, never), (b, rank), *self.leaves[b][1:])
+                self.enters[c] = ((c, never), (a, rank), *self.enters[a][1:])
                 self.cuts[a, b] = rank
         self.live = {self.labels[i]: i for i in self.leaves}
-        self.reach: dict[str, int] = {}
-        for token in self.live:
-            body = token.removesuffix(end)
-            if len(body) > 1:
-                tail = body[-2:] + token[len(body) :]
-                self.reach[tail] = max(self.reach.get(tail, 0), len(body))
-        self.prefixes: dict[str, int] = {}
+        bodies = {t: t.removesuffix(end) for t in self.live}
+        self.sizes = np.zeros(max(self.labels) + 1, np.int64)
+        self.sizes[list(self.live.values())] = [len(b) for b in bodies.values()]
+        self.begun = {b[:k] for b in bodies.values() for k in range(1, len(b))}
+        self._start()
+
+    def _start(self) -> None:
+        """Empty tables: the state before any symbol."""
+        self.moves, self.closes = Arcs(), Arcs()
+        self.held: list[tuple[str, tuple[int, ...]]] = [("", (-1,))]
+        self.states = {self.held[0]: 0}
+        self.last = np.full(1 << 12, -1, np.int32)  # the token that each state has just read
 
     def _open(self, a: int, b: int, before: int) -> bool:
         """Whether the state after a has the arc b, once all merges below ``before`` were built in."""
@@ -80,55 +109,118 @@ class TokenAutomaton:
 
     def arc(self, a: int, b: int) -> bool:
         """Whether the state after a has the arc b."""
-        known = self.table.get(a << 20 | b)
-        if known is None:
-            if len(self.table) > 150_000:
-                self.table.clear()
-            known = self.table[a << 20 | b] = self._open(a, b, len(self.labels) + len(self.cuts) + 1)
-        return known
-
-    def _last(self, word: str, stop: int, end: str, before: Sequence[int]) -> int:
-        """The one token that ends the path spelling word[:stop], given the last tokens of all shorter prefixes."""
-        get = self.live.get
-        for start in range(max(0, stop - self.reach.get(word[max(0, stop - 2) : stop] + end, 1)), stop):
-            token = get(word[start:stop] + end)
-            if token is not None and (not start or self.arc(before[start], token)):
+        return self._open(a, b, len(self.labels) + len(self.cuts) + 1)
+
+    def _read(self, state: int, symbol: str, end: str) -> int:
+        """The one token that the path reads last, once ``symbol`` follows what ``state`` has read."""
+        back, last = self.held[state]
+        back += symbol
+        for at, before in enumerate(last):
+            token = self.live.get(back[at:] + end)
+            if token is not None and before > -2 and (before < 0 or self.arc(before, token)):
                 return token
-        raise ValueError(f"no path spells {word[:stop]!r}")
+        raise ValueError(f"no path spells {back!r}")
+
+    def _move(self, state: int, symbol: str) -> int:
+        """The state that ``symbol`` leads to."""
+        token = self._read(state, symbol, "")
+        back, last = self.held[state]
+        back, last = back + symbol, (*last, token)
+        at = next((k for k in range(len(back)) if back[k:] in self.begun), len(back))
+        back, last = back[at:], last[at:]
+        # A token cannot begin where the rest begins none; what was read up to there does not matter.
+        marks = tuple(t if back[k:] in self.begun else -2 for k, t in enumerate(last[:-1]))
+        key = back, (*marks, token)
+        to = self.states.get(key)
+        if to is None:
+            to = self.states[key] = len(self.held)
+            self.held.append(key)
+            if to >= len(self.last):
+                self.last = np.concatenate([self.last, np.full_like(self.last, -1)])
+            self.last[to] = token
+        return to
+
+    def walk(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of many words of base symbols, one word after another, and how many each has.
+
+        A word's last symbol stands for itself with the end mark; an empty word has no token. All words take their
+        next step through the table together.
+        """
+        if len(self.held) > self.most:
+            self._start()
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        lengths = np.array([len(w) for w in words], np.int64)
+        order = np.argsort(-lengths, kind="stable")
+        order = order[: np.count_nonzero(lengths)]
+        firsts, sizes = (np.cumsum(lengths) - lengths)[order], lengths[order]
+        keys = codes.astype(np.int64)
+        read = np.empty(len(codes), np.int32)  # the token that ends at each symbol, if a path has read so far
+        state = np.zeros(len(order), np.int64)
+        lasting = np.searchsorted(-sizes, -np.arange(1, int(sizes.max(initial=0))), side="left")
+        for step, m in enumerate(lasting.tolist()):
+            at = firsts[:m] + step
+            state[:m] = self.moves.follow(state[:m] << 21 | keys[at], lambda key: self._move(key >> 21, chr(key & 0x1FFFFF)))
+            read[at] = self.last[state[:m]]
+        ends = firsts + sizes
+        final = self.closes.follow(state << 21 | keys[ends - 1], lambda key: self._read(key >> 21, chr(key & 0x1FFFFF), self.end))
+        read[ends - 1] = final
+        found, who = [], []  # back from the last token to the first
+        left, mine = sizes.copy(), np.arange(len(order))
+        while len(mine):
+            token = read[firsts[mine] + left - 1]
+            found.append(token)
+            who.append(mine)
+            left = left - self.sizes[token]
+            mine, left = mine[left > 0], left[left > 0]
+        counts = np.zeros(len(words), np.int64)
+        tokens = np.concatenate([*found, np.zeros(0, np.int32)])
+        owner = order[np.concatenate([*who, np.zeros(0, np.int64)])]
+        counts += np.bincount(owner, minlength=len(words))
+        step = np.repeat(np.arange(len(found)), [len(w) for w in who])
+        out = np.empty(len(tokens), np.int32)
+        out[np.cumsum(counts)[owner] - 1 - step] = tokens
+        return out, counts
 
     def encode(self, word: str) -> list[int]:
-        """The tokens of a word of base symbols, the last of which stands for itself with the end mark."""
-        n, short = len(word), len(word) <= 48
-        if not n:
-            return []
-        before, known = [-1] * n, self.prefixes
-        if len(known) > 100_000:
-            known.clear()
-        for stop in range(1, n):
-            prefix = word[:stop] if short else None
-            token = known.get(prefix) if short else None
-            if token is None:
-                token = self._last(word, stop, "", before)
-                if short:
-                    known[prefix] = token
-            before[stop] = token
-        out = [self._last(word, n, self.end, before)]
-        at = n - (len(self.labels[out[0]]) - len(self.end))
-        while at:
-            out.append(before[at])
-            at -= len(self.labels[out[-1]])
-        return out[::-1]
+        """The tokens of one word."""
+        return self.walk([word])[0].tolist()
 
     def decode(self, ids: Sequence[int]) -> str:
         """The arc labels of a path, with a space between two."""
         return " ".join(map(self.labels.__getitem__, ids))
 
 
+class Spans:
+    """Many short sequences in one array."""
+
+    def __init__(self, kind: type) -> None:
+        self.kind, self.flat, self.used = kind, np.zeros(1 << 12, kind), 0
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def extend(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Add sequences that lie one after another in ``flat``."""
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.used += len(flat)
+
+    def add(self, rows: Sequence[bytes]) -> None:
+        self.extend(np.frombuffer(b"".join(rows), self.kind), np.array([len(r) for r in rows], np.int64))
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sequences of these numbers, one after another, and their sizes."""
+        sizes = self.sizes[numbers]
+        shift = self.starts[numbers] - (np.cumsum(sizes) - sizes)
+        return self.flat[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))], sizes
+
+
 class WordEncoder:
     """Encoding of whole texts with a lower-casing word-end vocabulary in a tokenizers JSON file.
 
     Texts are cut at special strings, brought to NFC, lower-cased, and split into letter runs, single numbers, runs of
-    other characters and contractions; white space goes. Each distinct word takes one walk through the automaton.
+    other characters and contractions; white space goes. Each distinct word takes one walk through the automaton's table.
     """
 
     def __init__(self, path: str) -> None:
@@ -137,12 +229,12 @@ class WordEncoder:
         model = spec["model"]
         self.automaton = TokenAutomaton(model["vocab"], [tuple(m) for m in model["merges"]], model["end_of_word_suffix"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.marks = {i: s.encode("utf-8") for s, i in self.special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.symbols = byte_symbols()
-        self.words = textscan.WordIndex(150_000)
-        self.ids: list[bytes] = []
-        self.shown: list[bytes] = []
+        self.labels = Spans(np.uint8)
+        names = [self.automaton.labels.get(i, "") for i in range(max(self.automaton.labels) + 1)]
+        self.labels.add([(n + " ").encode("utf-8") for n in names])
+        self.words, self.ids = textscan.WordIndex(300_000), Spans(np.int32)
 
     def _parts(self, text: str, limit: int = 1 << 20) -> Iterator[str | int]:
         """Pieces between special strings (and their ids); long ones are cut after a space, which is in no word."""
@@ -159,48 +251,44 @@ class WordEncoder:
                 start = stop
             yield piece[start:]
 
-    def _learn(self, word: str) -> None:
-        if not (word.isascii() and word.isalnum()):
-            word = "".join(map(self.symbols.__getitem__, word.encode("utf-8")))
-        ids = self.automaton.encode(word)
-        self.ids.append(struct.pack(f"<{len(ids)}I", *ids))
-        self.shown.append(self.automaton.decode(ids).encode("utf-8"))
+    def _learn(self, words: Sequence[str]) -> None:
+        plain = [w if w.isascii() and w.isalnum() else "".join(map(self.symbols.__getitem__, w.encode("utf-8"))) for w in words]
+        self.ids.extend(*self.automaton.walk(plain))
 
-    def __call__(self, texts: Sequence[str]) -> Iterator[tuple[bytes, bytes]]:
-        """For each text its ids as little-endian 32-bit integers, and the decoded text in UTF-8."""
+    def __call__(self, texts: Sequence[str]) -> Iterator[tuple[np.ndarray, bytes]]:
+        """For each text its ids, and the decoded text in UTF-8: the arcs' labels with a space between two."""
         owner, plain, tagged = [], [], []
         for i, text in enumerate(texts):
             for part in self._parts(text):
                 owner.append(i)
                 tagged.append(part if isinstance(part, int) else -1)
                 plain.append("" if isinstance(part, int) else part)
-        i, ids, shown = 0, [], []
+        i, held = 0, []
         for a, b in textscan.slices(plain):
             if self.words.begin():
-                self.ids, self.shown = [], []
+                self.ids = Spans(np.int32)
             joined, codes, kinds, offsets = textscan.scan(plain[a:b])
             starts, ends = textscan.runs(kinds, textscan.NUMBER)
             starts, ends = textscan.join_contractions(codes, kinds, starts, ends, np.ones(len(starts), bool))
             solid = kinds[starts] != textscan.SPACE
             starts, ends = starts[solid], ends[solid]
-            numbers, fresh = self.words.number(joined, textscan.prefix_hashes(codes), starts, ends)
-            for word in fresh:
-                self._learn(word)
-            bounds = np.searchsorted(starts, offsets).tolist()
+            numbers, fresh = self.words.number(joined, codes, starts, ends)
+            if fresh:
+                self._learn(fresh)
+            ids, sizes = self.ids.take(numbers)
+            edges = np.concatenate(([0], np.cumsum(sizes)))[np.searchsorted(starts, offsets)].tolist()
             for k in range(a, b):
                 while i < owner[k]:
-                    yield b"".join(ids), b" ".join(shown)
-                    i, ids, shown = i + 1, [], []
-                own = numbers[bounds[k - a] : bounds[k - a + 1]].tolist()
-                if tagged[k] >= 0:
-                    ids.append(np.array([tagged[k]], "<u4").tobytes())
-                    shown.append(self.marks[tagged[k]])
-                elif own:
-                    ids.append(b"".join(map(self.ids.__getitem__, own)))
-                    shown.append(b" ".join(map(self.shown.__getitem__, own)))
+                    yield self._shown(held)
+                    i, held = i + 1, []
+                held.append(np.array([tagged[k]], np.int32) if tagged[k] >= 0 else ids[edges[k - a] : edges[k - a + 1]])
         while i < len(texts):
-            yield b"".join(ids), b" ".join(shown)
-            i, ids, shown = i + 1, [], []
+            yield self._shown(held)
+            i, held = i + 1, []
+
+    def _shown(self, parts: list[np.ndarray]) -> tuple[np.ndarray, bytes]:
+        ids = parts[0] if len(parts) == 1 else np.concatenate([*parts, np.zeros(0, np.int32)])
+        return ids, self.labels.take(ids)[0].tobytes()[:-1]
 
 
 @cache
@@ -224,11 +312,11 @@ def encode_and_decode(docs: DataFrame, path: str, keep_ids: bool = False) -> Dat
                 batch = whole.slice(at, 512)
                 rows: list[list] = [[], [], [], []]
                 for ids, shown in encoder([t or "" for t in batch.column(1).to_pylist()]):
-                    rows[0].append(len(ids) // 4)
-                    rows[1].append(hashlib.sha256(ids).hexdigest())
+                    rows[0].append(len(ids))
+                    rows[1].append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                     rows[2].append(hashlib.sha256(shown).hexdigest())
                     if keep_ids:
-                        rows[3].append(np.frombuffer(ids, "<u4").astype(np.int32))
+                        rows[3].append(ids)
                 columns = [batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1]), pa.array(rows[2])]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:

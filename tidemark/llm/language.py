@@ -124,7 +124,7 @@ class Tagger:
             starts, ends = textscan.runs(kinds)
             letters = kinds[starts] == textscan.LETTER
             starts, ends = starts[letters], ends[letters]
-            numbers, fresh = self.index.number(joined, textscan.prefix_hashes(codes), starts, ends)
+            numbers, fresh = self.index.number(joined, codes, starts, ends)
             for i in range(0, len(fresh), 50_000):
                 part = fresh[i : i + 50_000]
                 at = self.index.size - len(fresh) + i

@@ -119,8 +119,22 @@ def join_contractions(
     return starts[keep], ends[keep]
 
 
+def _alike(codes: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> bool:
+    """Whether all pairs of spans of these lengths that start at ``a`` and ``b`` are equal, letter by letter."""
+    other = np.flatnonzero(a != b)
+    a, b, lengths = a[other], b[other], lengths[other]
+    if not len(a):
+        return True
+    inside = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return bool((codes[np.repeat(a, lengths) + inside] == codes[np.repeat(b, lengths) + inside]).all())
+
+
 class WordIndex:
-    """Numbers for distinct words, kept over batches up to a bound; numbers hold until ``begin`` is called again."""
+    """Numbers for distinct words, kept over batches up to a bound; numbers hold until ``begin`` is called again.
+
+    Hashes gather the words of a slice; that gathered words are equal is checked letter by letter, and words of
+    different slices meet by themselves, so no collision gives two words one number.
+    """
 
     def __init__(self, bound: int = 1_500_000) -> None:
         self.bound, self.of, self.size = bound, {}, 0
@@ -132,17 +146,24 @@ class WordIndex:
         self.of, self.size = {}, 0
         return True
 
-    def number(self, joined: str, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    def number(
+        self, joined: str, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray
+    ) -> tuple[np.ndarray, list[str]]:
         """The number of every word, and the words that are new, in the order of their numbers."""
         if not len(starts):
             return np.zeros(0, np.int64), []
-        keys, where, back = np.unique(span_hashes(sums, starts, ends), return_index=True, return_inverse=True)
-        get, fresh, numbers = self.of.get, [], np.empty(len(keys), np.int64)
-        found = [get(k, -1) for k in keys.tolist()]
-        numbers[:] = found
-        new = np.flatnonzero(numbers < 0)
-        numbers[new] = np.arange(self.size, self.size + len(new))
-        self.of.update(zip(keys[new].tolist(), numbers[new].tolist()))
-        self.size += len(new)
-        fresh = [joined[a:b] for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist())]
-        return numbers[back], fresh
+        keys = span_hashes(prefix_hashes(codes), starts, ends)
+        _, where, back = np.unique(keys, return_index=True, return_inverse=True)
+        lengths, first = ends - starts, where[back]
+        if not ((lengths == lengths[first]).all() and _alike(codes, starts, starts[first], lengths)):
+            where = back = np.arange(len(starts))  # some hash has two words: each word by itself
+        words = [joined[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())]
+        of, fresh, numbers = self.of, [], []
+        for word in words:
+            n = of.get(word)
+            if n is None:
+                n = of[word] = self.size + len(fresh)
+                fresh.append(word)
+            numbers.append(n)
+        self.size += len(fresh)
+        return np.array(numbers, np.int64)[back], fresh

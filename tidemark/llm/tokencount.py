@@ -54,7 +54,7 @@ class PretokenCounter:
             all_ends = np.insert(all_ends, at, ends[alone])
             all_free = np.insert(all_free, at, True)
         all_starts, all_ends = textscan.join_contractions(codes, kinds, all_starts, all_ends, all_free)
-        numbers, fresh = self.index.number(joined, textscan.prefix_hashes(codes), all_starts, all_ends)
+        numbers, fresh = self.index.number(joined, codes, all_starts, all_ends)
         while self.index.size > len(self.counts):
             self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
         if fresh:
