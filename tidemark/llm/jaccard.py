@@ -1,8 +1,8 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles; MinHash bands bring the candidates."""
+"""Links by exact Jaccard similarity of word shingles, for ``simhash``; bands of least hashes bring more candidates."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.simhash import _LOWER
+from tidemark.llm import textscan
 from tidemark.llm.vectors import _groups
 from tidemark.operators.components import connected_components
 from tidemark.session import materialize
@@ -20,16 +20,8 @@ _MIX = np.random.default_rng(11).integers(0, 2**64, (2, BANDS * ROWS), np.uint64
 
 
 def shingles(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's word shingles; words and short texts as in ``simhash.fingerprint``."""
-    parts = (text or "").encode("utf-8").translate(_LOWER).split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    line = b" ".join(parts)
-    gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-    starts, ends = np.concatenate(([0], gaps + 1)).tolist(), np.concatenate((gaps, [len(line)])).tolist()
-    k = min(words, len(starts))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(line[a:b], seed) for a, b in zip(starts[: len(starts) - k + 1], ends[k - 1 :])], np.uint64))
+    """The sorted distinct 64-bit hashes of a text's word shingles; words and short texts as in ``shingle_hashes``."""
+    return np.unique(textscan.shingle_hashes(text, words, seed))
 
 
 def bands(hashes: np.ndarray) -> np.ndarray:
@@ -48,20 +40,26 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both >= least * (len(a) + len(b) - both) - 1e-9
 
 
-def _marks(docs: DataFrame, words: int) -> DataFrame:
-    """``(doc_id, digest, point, bands)``: digest of the text, and digest and bands of its set of shingles."""
+def _marks(docs: DataFrame, words: int, seed: int) -> DataFrame:
+    """``(doc_id, digest, point, fp, bands)``: digest of the text; digest, SimHash and bands of its shingles."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(x.as_py(), words) for x in batch.column(2)]
-            points = [xxhash.xxh64_intdigest(s.tobytes()) for s in sets]
-            keys = [bands(s) if len(s) else np.zeros(0, np.int64) for s in sets]
-            made = [pa.array(np.array(points, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "digest", "point", "bands"])
+            points, fps, keys = [], [], []
+            for text in batch.column(2):
+                hashes = textscan.shingle_hashes(text.as_py(), words, seed)
+                fps.append(textscan.majority(hashes))
+                hashes = np.unique(hashes)
+                points.append(xxhash.xxh64_intdigest(hashes.tobytes()))
+                keys.append(bands(hashes) if len(hashes) else np.zeros(0, np.int64))
+            made = [pa.array(np.array(points, np.uint64).view(np.int64)), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *made], names=["doc_id", "digest", "point", "fp", "bands"]
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
-    return rows.mapInArrow(work, f"doc_id {kind}, digest long, point long, bands array<long>")
+    return rows.mapInArrow(work, f"doc_id {kind}, digest long, point long, fp long, bands array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
@@ -122,19 +120,27 @@ def _between(members: DataFrame, texts: DataFrame, words: int, least: float, til
     return dealt.mapInArrow(work, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, tile: int = 8192) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> ``(doc_id, component_id)``, one row for each row of ``docs``.
+def near_duplicates(
+    docs: DataFrame,
+    words: int = 5,
+    least: float = 0.8,
+    tile: int = 8192,
+    candidates: Callable[[DataFrame], DataFrame] | None = None,
+    seed: int = 42,
+) -> DataFrame:
+    """``docs(doc_id, text, ...)`` -> ``(doc_id, fp, component_id)``, one row for each row of ``docs``.
 
     Documents are linked whose sets of word shingles have a Jaccard similarity of at least ``least``, computed exactly
-    for the pairs that share a MinHash band; component_id is the smallest doc_id reachable over links, itself included.
+    for the pairs that ``candidates`` gives for ``(point, fp)`` and those that share a band of least hashes (a pair at
+    0.8 shares none with probability 1e-5); component_id is the smallest doc_id reachable over links, itself included.
     Equal sets are one point; texts without a word have the empty set and are one point too. First every point of a
     bucket is compared with the bucket's centre, the point with the fullest buckets. Then, in buckets whose points are
     not one component yet, all pairs of differing components are compared, so that components are those of all pairs.
     Null doc_ids, repeated doc_ids and other columns are treated as in ``simhash.near_duplicates``.
     """
-    marked = materialize(_marks(docs, words))
+    marked = materialize(_marks(docs, words, seed))
     points = materialize(
-        marked.groupBy("point").agg(F.min("doc_id").alias("least"), F.min("digest").alias("digest"), F.first("bands").alias("bands"))
+        marked.groupBy("point").agg(F.min("doc_id").alias("least"), F.min("digest").alias("digest"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
     )
     keyed = points.select("point", F.posexplode("bands").alias("band", "key"))
     full = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
@@ -142,8 +148,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, tile: i
     weights = shared.groupBy("point").agg(F.sum("n").alias("weight"))
     rank = F.struct("weight", "point")
     centres = shared.join(weights, "point").groupBy("band", "key").agg(F.max(rank)["point"].alias("a"))
-    stars = shared.join(centres, ["band", "key"]).where("a <> point").select("a", F.col("point").alias("b")).distinct()
-    needed = points.join(weights.select("point"), "point", "left_semi").select("point", "digest")
+    stars = shared.join(centres, ["band", "key"]).where("a <> point").select("a", F.col("point").alias("b"))
+    if candidates is not None:
+        stars = stars.unionByName(candidates(points.select("point", "fp")))
+    stars = materialize(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    wanted = weights.select("point").union(stars.select("a")).union(stars.select("b")).distinct()
+    needed = points.join(wanted, "point", "left_semi").select("point", "digest")
     texts = docs.select(F.xxhash64("text").alias("digest"), "text").join(needed, "digest").dropDuplicates(["point"])
     texts = materialize(texts.select("point", "text"))
     links = materialize(_verified(stars, texts, words, least))
@@ -158,4 +168,4 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, tile: i
     owned = owned.select("point", "least", F.coalesce("root", "point").alias("root"))
     names = owned.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = owned.join(names, "root").select("point", "component_id")
-    return marked.join(classes, "point").select("doc_id", "component_id")
+    return marked.join(classes, "point").select("doc_id", "fp", "component_id")

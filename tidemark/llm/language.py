@@ -265,6 +265,6 @@ def predict(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
 
     inside = "text" in keep
     packed = docs.select(F.struct(*keep).alias("row"), *([] if inside else ["text"]))
-    kind = packed.schema["row"].dataType.simpleString()
-    made = packed.mapInArrow(work, f"row {kind}, lang_pred string, score double")
+    schema = packed.select("row").schema.add("lang_pred", "string").add("score", "double")
+    made = packed.mapInArrow(work, schema)
     return made.select("row.*", "lang_pred", "score")

@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import jaccard, textscan
 from tidemark.operators.components import connected_components
 from tidemark.session import materialize
 
 BITS = 64
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -22,25 +20,7 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
 
     A-Z are lower-cased, words are runs of anything but ASCII white space. A text of fewer words is one shingle.
     """
-    parts = (text or "").encode("utf-8").translate(_LOWER).split()
-    if not parts:
-        return 0
-    line = b" ".join(parts)
-    gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-    starts = np.concatenate(([0], gaps + 1))
-    ends = np.concatenate((gaps, [len(line)]))
-    k = min(words, len(starts))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array(
-        [digest(line[a:b], seed) for a, b in zip(starts[: len(starts) - k + 1].tolist(), ends[k - 1 :].tolist())],
-        dtype="<u8",
-    )
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 65536):
-        bits = np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    packed = np.packbits(ones * 2 > len(hashes), bitorder="little")
-    return int(packed.view("<i8")[0])
+    return textscan.majority(textscan.shingle_hashes(text, words, seed))
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
@@ -117,14 +97,30 @@ def links(points: DataFrame, radius: int = 2) -> DataFrame:
     return twos.unionByName(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, words: int = 3, radius: int = 2, seed: int = 42, least: float | None = None
+) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, fp long, component_id)``, one row for each row of ``docs``.
 
     Documents whose SimHash fingerprints differ in at most ``radius`` bits are linked; component_id is the smallest
     doc_id reachable over links, itself included. Equal fingerprints are one point, so copies cost one row each.
     Null and word-less texts have fingerprint 0 and are linked like any other. Repeated doc_ids are rows of their own;
     a null doc_id is never a component's id unless all are null. Other columns of ``docs`` are ignored.
+
+    With ``least`` a link is a Jaccard similarity of the shingle sets of at least that. 64 bits differ in about ten at
+    0.8, where no family of masks is both selective and sure; so the fingerprints within the radius are candidates
+    beside those of ``jaccard``, and every candidate is verified on the sets themselves.
     """
+    if least is not None:
+
+        def closest(points: DataFrame) -> DataFrame:
+            held = points.groupBy("fp").agg(F.min("point").alias("point"))
+            one, two = (held.select(F.col("fp").alias(f), F.col("point").alias(p)) for f, p in (("a", "x"), ("b", "y")))
+            pairs = links(held.select("fp"), radius).join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+            equal = points.select("fp", F.col("point").alias("b")).join(one.withColumnRenamed("a", "fp"), "fp").where("x <> b")
+            return pairs.unionByName(equal.select(F.col("x").alias("a"), "b"))
+
+        return jaccard.near_duplicates(docs, words, least, candidates=closest, seed=seed)
     marked = materialize(fingerprints(docs, words, seed))
     points = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(links(points.select("fp"), radius))

@@ -7,10 +7,12 @@ from functools import cache
 
 import numpy as np
 import regex
+import xxhash
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: The characters with Unicode's White_Space property, which the tokenizers' patterns call \s.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -119,6 +121,32 @@ def join_contractions(
     return starts[keep], ends[keep]
 
 
+def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of a text's word shingles, repeats included.
+
+    A-Z are lower-cased, words are runs of anything but ASCII white space. A text of fewer words is one shingle, a null
+    one or one without words has none.
+    """
+    parts = (text or "").encode("utf-8").translate(_LOWER).split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(parts)
+    gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    starts, ends = np.concatenate(([0], gaps + 1)).tolist(), np.concatenate((gaps, [len(line)])).tolist()
+    k = min(words, len(starts))
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(line[a:b], seed) for a, b in zip(starts[: len(starts) - k + 1], ends[k - 1 :])], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes, as a signed integer."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        bits = np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def _alike(codes: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> bool:
     """Whether all pairs of spans of these lengths that start at ``a`` and ``b`` are equal, letter by letter."""
     other = np.flatnonzero(a != b)

@@ -230,7 +230,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, chunk: int = 1 <
 
     kept = [c for c in keep if c != "text"]
     packed = docs.select(F.struct(*kept).alias("row"), "text")
-    kind = packed.schema["row"].dataType.simpleString()
-    made = packed.mapInArrow(work, f"row {kind}, n_bytes long, n_tokens long")
+    schema = packed.select("row").schema.add("n_bytes", "long").add("n_tokens", "long")
+    made = packed.mapInArrow(work, schema)
     return made.select("row.*", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
