@@ -1,10 +1,11 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
 
-from tidemark.llm import suffixes
+from tidemark.llm import catalogue, suffixes
 
 
 def brute(texts, length):
@@ -101,3 +102,40 @@ def test_anchors_depend_on_the_window_alone():
     assert (owner - np.arange(len(owner)) <= 70).all()
     a = owner[100:900] - np.arange(100, 900)
     assert (a == owner[20000:20800] - np.arange(20000, 20800)).all()
+
+
+def brute_sharing(rows, words):
+    """Which rows share that many words in a row with a row of another id or text."""
+    held = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        for k in range(len(w) - words + 1):
+            held.setdefault(tuple(w[k : k + words]), set()).add((i, t))
+    found = set().union(*[v for v in held.values() if len(v) > 1]) if held else set()
+    return {r: int(r in found) for r in rows}
+
+
+def test_passages_shared_with_other_documents(spark):
+    rng = random.Random(9)
+    texts = corpus(3, passage=25)
+    base = [f"v{rng.randrange(5000)}" for _ in range(400)]
+    texts += [" ".join(base), "\n\t ".join(base[100:130]) + " x", " ".join(base[:19]), " ".join(base[300:319] * 3), None, "", "a b " * 60, "b a " * 60]
+    texts += [" ".join(base[i : i + 20 + i % 3]) + " y" * i for i in range(0, 300, 17)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(400, texts[0]), (0, texts[0]), (None, texts[3]), (401, " ".join(base[200:230] * 2))]
+    docs = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, shares_passage int").repartition(3)
+    for few in (100_000, 0):
+        got = suffixes.repeated_passages(docs.selectExpr("doc_id", "xxhash64(text) text_key", "text"), 20, 5, most_broadcast=few)
+        keys = {(r.doc_id, r.text_key) for r in got.collect()}
+        named = docs.selectExpr("doc_id", "xxhash64(text) k", "text").collect()
+        assert {(r.doc_id, r.text): int((r.doc_id, r.k) in keys) for r in named} == brute_sharing(rows, 20)
+    made = suffixes.remove_repeats(docs, 4000, keep_text=True, passage=20).collect()
+    assert {(r.doc_id, r.text): r.shares_passage for r in made} == brute_sharing(rows, 20) and len(made) == len(rows)
+
+
+def test_the_registered_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    want = {r[0]: b for r, b in zip(rows, brute([r[1] or "" for r in rows], 400))}
+    shares = {i: n for (i, _), n in brute_sharing(rows, 51).items()}
+    got = catalogue.op4_suffix_dedup(spark, sf).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in got} == {i: (*want[i], shares[i]) for i in want} and len(got) == len(rows)

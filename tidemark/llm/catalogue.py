@@ -30,9 +30,9 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document once repeated 400-byte strings are gone."""
-    made = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
-    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """What is left of every document once repeated 400-byte strings are gone, and which share over 50 words."""
+    made = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400, passage=51)
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "shares_passage")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

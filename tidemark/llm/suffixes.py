@@ -155,6 +155,11 @@ def _runs(hit: np.ndarray, first: int, length: int) -> list[tuple[int, int]]:
     return [(first + int(a), first + int(b) - 1 + length) for a, b in zip(edges[::2], edges[1::2])]
 
 
+def _proof(data: bytes | memoryview) -> bytes:
+    """A cryptographic digest: ranges that agree in it agree in every byte."""
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
 def _scan_anchors(length: int, seed: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -169,9 +174,7 @@ def _scan_anchors(length: int, seed: int):
                     parts.append(found)
                     index += [i] * len(found[0])
                     view = memoryview(data)
-                    digests += [
-                        xxhash.xxh3_64_intdigest(view[a : b + length]) for a, b in zip(found[0].tolist(), found[1].tolist())
-                    ]
+                    digests += [_proof(view[a : b + length]) for a, b in zip(found[0].tolist(), found[1].tolist())]
                 if not parts:
                     continue
                 first, last, place, grams = (np.concatenate(x) for x in zip(*parts))
@@ -184,7 +187,7 @@ def _scan_anchors(length: int, seed: int):
                         pa.array(last.astype(np.int32)),
                         pa.array(place.astype(np.int32)),
                         pa.array(grams),
-                        pa.array(np.array(digests, np.uint64).view(np.int64)),
+                        pa.array(digests, pa.binary()),
                     ],
                     names=["doc_id", "text_key", "first", "last", "anchor", "core", "whole"],
                 )
@@ -234,8 +237,7 @@ def _split(length: int, step: int):
                     core = data[anchor - k * step - first : anchor - (k + 1) * step + 1 + length - first]
                     part = data[a - first : b + length - first]
                     index.append(i)
-                    digests = xxhash.xxh3_64_intdigest(core, seed=k), xxhash.xxh3_64_intdigest(part, seed=1)
-                    rows.append((a, b, anchor, *digests, alone, part))
+                    rows.append((a, b, anchor, xxhash.xxh3_64_intdigest(core, seed=k), _proof(part), alone, part))
             if rows:
                 index = pa.array(index, pa.int32())
                 first, last, anchor, core, every, alone, parts = zip(*rows)
@@ -247,7 +249,7 @@ def _split(length: int, step: int):
                         pa.array(last, pa.int32()),
                         pa.array(anchor, pa.int32()),
                         pa.array(np.array(core, np.uint64).view(np.int64)),
-                        pa.array(np.array(every, np.uint64).view(np.int64)),
+                        pa.array(every, pa.binary()),
                         pa.array(alone, pa.bool_()),
                         pa.array(parts, pa.binary()),
                     ],
@@ -302,7 +304,7 @@ def repeated_spans(
     """``docs(doc_id, text_key, text)`` -> ``(doc_id, text_key, start, stop)``: byte spans of repeated windows.
 
     Spans may overlap. Windows of ``length`` bytes are gathered in ranges that share an anchor. Ranges that agree in
-    every byte repeat as a whole and are one row from then on. Of anchors with different ranges the bytes are fetched,
+    every byte, as a cryptographic digest of them shows, repeat as a whole and are one row from then on. Of anchors with different ranges the bytes are fetched,
     one copy of each, and their suffixes sorted. Anchors with more than ``group`` different ranges, as a common passage
     has at its ends, are split into ``ways`` shorter ranges, whose windows have more bytes in common, and counted anew,
     down to single windows where need be: that is exact too, and no task gets a large group. Up to ``most_broadcast``
@@ -312,8 +314,9 @@ def repeated_spans(
     seed = max(1, length * 5 // 16)
     found = docs.mapInArrow(
         _scan_anchors(length, seed),
-        f"doc_id {id_type}, text_key long, first int, last int, anchor int, core long, whole long",
+        f"doc_id {id_type}, text_key long, first int, last int, anchor int, core long, whole binary",
     )
+    found = materialize(found)
     cores = found.groupBy("core").agg(F.count("*").alias("n"), F.min("whole").alias("w0"), F.max("whole").alias("w1"))
     # Written first, so that the join reads plain rows on both sides and the rows of a hot anchor can be split.
     cores = materialize(cores.where("n > 1").select("core", (F.col("w0") == F.col("w1")).alias("uniform")))
@@ -346,7 +349,7 @@ def repeated_spans(
     head = f"doc_id {id_type}, text_key long, first int, last int, anchor int, core long"
     piece = f"{head}, alone boolean, kinds long, bytes binary"
     rows = materialize(joined.select("d.doc_id", "d.text_key", "d.text", "r.ranges").mapInArrow(_fetch(length), piece))
-    part = f"{head}, whole long, alone boolean, bytes binary"
+    part = f"{head}, whole binary, alone boolean, bytes binary"
     out = f"doc_id {id_type}, text_key long, start int, stop int"
     step = length - seed + 1
     while True:
@@ -364,6 +367,85 @@ def repeated_spans(
     return result
 
 
+def word_codes(text: str | None) -> np.ndarray:
+    """A hash of each word (a run of anything but ASCII white space) of a text."""
+    codes = np.frombuffer((text or "").encode("utf-8"), np.uint8)
+    solid = np.concatenate(([False], ~((codes == 32) | ((codes >= 9) & (codes <= 13))), [False]))
+    edges = np.flatnonzero(solid[1:] != solid[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    return span_hashes(prefix_hashes(codes), starts, ends) + (ends - starts).astype(np.uint64)
+
+
+def repeated_passages(docs: DataFrame, words: int = 51, seed: int = 8, most_broadcast: int = 100_000) -> DataFrame:
+    """``docs(doc_id, text_key, text)`` -> ``(doc_id, text_key)`` of those that share ``words`` words with another one.
+
+    Words count as in ``word_codes``, white space between them does not. Windows of words are gathered in ranges that
+    share an anchor, as bytes are in ``repeated_spans``. Documents that share a range are found at once; where some have
+    only an anchor in common, each window of theirs is compared. Hashes decide: 64 bits of an anchor and of a window.
+    Rows that agree in doc_id and text are one document.
+    """
+    key = docs.select("doc_id", "text_key").schema
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                index, cores, ranges = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+                for i, text in enumerate(batch.column(2)):
+                    codes = word_codes(text.as_py())
+                    if len(codes) < words:
+                        continue
+                    first, last, _, grams = anchors(codes, words, seed)
+                    index += [i] * len(first)
+                    cores.append(grams)
+                    ranges.append(span_hashes(prefix_hashes(codes), first, last + words))
+                index = pa.array(index, pa.int32())
+                made = [pa.array(np.concatenate(cores)), pa.array(np.concatenate(ranges).view(np.int64))]
+                columns = [batch.column(0).take(index), batch.column(1).take(index), *made]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "core", "range"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                index, cores, windows = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+                for i, (text, wanted) in enumerate(zip(batch.column(2), batch.column(3))):
+                    codes = word_codes(text.as_py())
+                    first, last, _, grams = anchors(codes, words, seed)
+                    sums = prefix_hashes(codes)
+                    for k in np.flatnonzero(np.isin(grams, np.array(wanted.as_py(), np.int64))).tolist():
+                        starts = np.arange(first[k], last[k] + 1)
+                        index += [i] * len(starts)
+                        cores.append(np.full(len(starts), grams[k]))
+                        windows.append(span_hashes(sums, starts, starts + words))
+                index = pa.array(index, pa.int32())
+                made = [pa.array(np.concatenate(cores)), pa.array(np.concatenate(windows).view(np.int64))]
+                columns = [batch.column(0).take(index), batch.column(1).take(index), *made]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "core", "range"])
+
+    schema = docs.select("doc_id", "text_key").schema.add("core", "long").add("range", "long")
+    found = materialize(docs.mapInArrow(scan, schema)).withColumn("doc", F.xxhash64("doc_id", "text_key"))
+    least, most = F.min("doc").alias("a"), F.max("doc").alias("b")
+
+    def sharing(rows: DataFrame) -> DataFrame:
+        """The documents of ranges that more than one document has."""
+        shared = materialize(rows.groupBy("core", "range").agg(least, most).where("a <> b").select("core", "range"))
+        few = shared.count() <= most_broadcast
+        return rows.join(F.broadcast(shared) if few else shared, ["core", "range"]).select(*key.names, "doc").distinct()
+
+    whole = materialize(sharing(found))
+    cores = found.groupBy("core").agg(least, most, F.min("range").alias("low"), F.max("range").alias("high"))
+    cores = materialize(cores.where("a <> b and low <> high").select("core"))
+    mixed = materialize(found.join(cores, "core"))
+    open_ = mixed.join(whole.select("doc"), "doc", "left_anti").select("core").distinct()
+    lists = mixed.join(open_, "core").groupBy(*key.names).agg(F.collect_set("core").alias("cores"))
+    d, r = docs.alias("d"), lists.alias("r")
+    on = (F.col("d.text_key") == F.col("r.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("r.doc_id"))
+    windows = d.join(r, on).select("d.doc_id", "d.text_key", "d.text", "r.cores").mapInArrow(each, schema)
+    part = sharing(materialize(windows).withColumn("doc", F.xxhash64("doc_id", "text_key")))
+    return whole.unionByName(part).select(*key.names).distinct()
+
+
 def _cut(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     """Sorted, disjoint spans that cover the same bytes."""
     out: list[list[int]] = []
@@ -375,7 +457,9 @@ def _cut(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return [(a, min(b, n)) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, keep_text: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = 400, keep_text: bool = False, passage: int | None = None
+) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``docs``' columns without text, and n_bytes, n_removed, n_spans, kept_sha256.
 
     Each byte of a text's UTF-8 form that a ``length``-byte string covers which also starts elsewhere, in the same or
@@ -383,16 +467,23 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_text: bool = False)
     of fewer than ``length`` bytes never lose a byte, rows that repeat a document with at least that many lose all
     of it. A null doc_id is an id. With ``keep_text`` the column ``text`` holds the kept bytes as text; a character that
     lost some of its bytes goes as a whole, and a null text stays null. Texts are taken whole; one document must fit in
-    a task.
+    a task. With ``passage`` a column shares_passage is 1 where that many words in a row, whatever white space lies
+    between them, also stand in another document, else 0; that decides nothing about what is removed.
     """
     rest = [c for c in docs.columns if c != "text"]
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
     spans = repeated_spans(keyed, length)
-    lists = spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    if passage is not None:
+        named = repeated_passages(keyed, passage).select("*", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("stop"))
+        spans = spans.unionByName(named)
+    span = F.when(F.col("start").isNotNull(), F.struct("start", "stop"))
+    lists = spans.groupBy("doc_id", "text_key").agg(
+        F.collect_list(span).alias("spans"), F.bool_or(F.col("start").isNull()).cast("int").alias("shares_passage")
+    )
     d = docs.select(F.struct(*rest).alias("rest"), "text", F.xxhash64("text").alias("text_key")).alias("d")
     r = lists.alias("r")
     on = (F.col("d.text_key") == F.col("r.text_key")) & F.col("d.rest.doc_id").eqNullSafe(F.col("r.doc_id"))
-    joined = d.join(r, on, "left").select("rest", "d.text", "r.spans")
+    joined = d.join(r, on, "left").select("rest", "d.text", "r.spans", F.coalesce("r.shares_passage", F.lit(0)).alias("shares"))
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,13 +506,17 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_text: bool = False)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
                 columns = [batch.column(0)] + [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
                 names = ["rest", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                if passage is not None:
+                    columns.append(batch.column(3))
+                    names.append("shares_passage")
                 if keep_text:
                     columns.append(pa.array(texts, pa.string()))
                     names.append("text")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     inner = ", ".join(f"`{c}`: {types[c]}" for c in rest)
-    schema = f"rest struct<{inner}>, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * keep_text
+    schema = f"rest struct<{inner}>, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema += ", shares_passage int" * (passage is not None) + ", text string" * keep_text
     made = joined.mapInArrow(work, schema)
     new = [c for c in made.columns if c != "rest"]
     return made.select(*[F.col(f"rest.`{c}`") for c in rest if c not in new], *new)
