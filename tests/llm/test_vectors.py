@@ -117,10 +117,50 @@ def test_edge_vectors_and_tiles(spark):
     assert got == want
     assert vectors.near_duplicates(df.limit(0)).count() == 0
     rng = np.random.default_rng(2)
-    points = [(1, i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(rng.normal(size=(60, 3)) * 0.05 + 1)]
-    frame = spark.createDataFrame(points, "label int, point long, v array<double>")
-    pairs = {(r.a, r.b) for r in vectors.cosine_links(frame, 0.99, tile=7).collect()}
-    assert pairs == {(i, j) for i in range(60) for j in range(i + 1, 60) if np.dot(points[i][2], points[j][2]) >= 0.99}
+    points = [(1, i, 1 + i % 3, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(rng.normal(size=(60, 3)) * 0.05 + 1)]
+    points[7:9] = [(1, i, 2, v) for i, v in ((7, [1.0, 0.0, 0.0]), (8, [0.999, 0.0, (1 - 0.999**2) ** 0.5]))]
+    frame = spark.createDataFrame(points, "label int, point long, m int, v array<double>")
+    linked = np.array([[i != j and np.dot(p[3], q[3]) >= 0.99 for j, q in enumerate(points)] for i, p in enumerate(points)])
+    want = {i: sum(points[j][2] for j in np.flatnonzero(linked[i])) for i in range(60) if linked[i].any()}
+    for tile in (7, 1024):
+        found, edges = {}, []
+        for r in vectors.cosine_links(frame, 0.99, tile=tile).collect():
+            if r.n is None:
+                edges.append((r.a, r.b))
+            else:
+                found[r.a] = found.get(r.a, 0) + r.n
+        assert found == want and all(linked_chain(linked)[a, b] for a, b in edges)
+        joined = np.zeros_like(linked)
+        for a, b in edges:
+            joined[a, b] = joined[b, a] = True
+        assert (linked_chain(joined) == linked_chain(linked)).all()
+
+
+def linked_chain(linked):
+    reach = linked | np.eye(len(linked), dtype=bool)
+    for _ in range(7):
+        reach = (reach.astype(int) @ reach.astype(int)) > 0
+    return reach
+
+
+def test_magnitudes_beyond_the_range_of_squares(spark):
+    v = np.array([1.0, 2.0, -0.5])
+    rows = [(i, (v * x).tolist(), 1) for i, x in enumerate((1e200, 1e200, 1e-200, 1.0, 3e-310))]
+    rows += [(9, (np.array([-2.0, 1.0, 0.0]) * 1e250).tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.near_duplicates(df).collect())
+    assert got == [*[(i, 4, 0) for i in range(5)], (9, 0, 9)]
+
+
+def test_few_pairs_are_scored_where_vectors_have_structure():
+    rng = np.random.default_rng(8)
+    smooth = lambda n: np.floor(256 * np.cumsum(rng.normal(size=(n, 64)), axis=1) / 8)
+    rows, queries = vectors.SegmentIndex(smooth(3000)), vectors.SegmentIndex(smooth(40))
+    q, c, s = rows.search(queries, np.arange(-40, 0), np.arange(3000), 5)
+    whole = queries.vectors @ rows.vectors.T
+    assert (np.sort(whole, axis=1)[:, :-6:-1] == s.reshape(40, 5)).all()
+    print("pairs left by level", rows.pairs)
+    assert rows.pairs[-1] < 0.2 * rows.pairs[0]
 
 
 def F_lit():

@@ -43,7 +43,7 @@ class SegmentIndex:
     deviations). Splitting a segment only tightens the bound.
     """
 
-    def __init__(self, vectors: np.ndarray, levels: tuple[int, ...] = (1, 4, 16)) -> None:
+    def __init__(self, vectors: np.ndarray, levels: tuple[int, ...] = (1, 4, 16, 32)) -> None:
         self.vectors = vectors
         self.top = float(np.abs(vectors).max(initial=0))
         levels = tuple(sorted({min(x, vectors.shape[1]) for x in levels if vectors.shape[1]}))
@@ -61,48 +61,46 @@ class SegmentIndex:
             return np.array([min(max(w, -(2**63)), 2**63 - 1) for w in whole], np.int64)
         return np.einsum("ij,ij->i", a, b).astype(np.int64)
 
-    def search(self, other: SegmentIndex, own: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For queries ``other`` with ids ``own``, the k best of these rows: query numbers, row numbers, scores."""
+    def search(
+        self, other: SegmentIndex, own: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For queries ``other`` with ids ``own``, the k best of these rows: query numbers, row numbers, scores.
+
+        ``floor``: scores that k other rows of each query are known to reach; rows that cannot reach it are left out.
+        It is raised in place. ``pairs`` keeps how many pairs there were, and were left at each level.
+        """
+        none = np.zeros(0, np.int64)
+        floor = np.full(len(own), -np.inf) if floor is None else floor
+        same = own[:, None] == ids[None, :]
+        q, c = np.nonzero(~same)
+        self.pairs = [len(q)]
         if not self.forms:
-            q, c = np.nonzero(own[:, None] != ids[None, :])
             scores = np.zeros(len(q), np.int64)
+        elif not len(q):
+            return none, none, none
         else:
             scale = np.linalg.norm(other.vectors, axis=1)[:, None] * np.linalg.norm(self.vectors, axis=1)[None, :]
             scale = 1e-9 * scale + 1e-6
-            same = own[:, None] == ids[None, :]
-            bound = other.forms[0] @ self.forms[0].T + scale
+            bound = other.forms[-1] @ self.forms[-1].T  # only to choose the rows that set the floor
             bound[same] = -np.inf
             m = min(k, bound.shape[1])
             lead = np.argpartition(-bound, m - 1, axis=1)[:, :m]
-            q0 = np.repeat(np.arange(len(lead)), m)
-            first = self.exact(other.vectors, q0, lead.ravel()).reshape(lead.shape).astype(float)
-            first[~np.isfinite(np.take_along_axis(bound, lead, 1))] = -np.inf
-            floor = first.min(axis=1) if m == k else np.full(len(lead), -np.inf)
-            floor -= np.abs(floor) * 1e-12
-            alive = (bound >= floor[:, None]) & ~same
-            pairs = None  # the survivors one by one, once they are few
-            for mine, theirs in zip(self.forms[1:], other.forms[1:]):
-                if pairs is None and alive.mean() < 0.05:
-                    pairs = np.nonzero(alive)
-                if pairs is None:
-                    alive &= theirs @ mine.T + scale >= floor[:, None]
-                else:
-                    q, c = pairs
-                    tight = np.einsum("ij,ij->i", theirs[q], mine[c]) + scale[q, c]
-                    keep = tight >= floor[q]
-                    pairs = q[keep], c[keep]
-            small = self.top * other.top * self.vectors.shape[1] < 2.0**53
-            if pairs is None and small and m == k and alive.mean() >= 0.05:
-                dense = np.where(alive, other.vectors @ self.vectors.T, -np.inf)
-                q, c = np.nonzero((dense >= np.partition(dense, -k, axis=1)[:, -k][:, None]) & alive)
-            else:
-                q, c = np.nonzero(alive) if pairs is None else pairs
+            if m == k:
+                first = self.exact(other.vectors, np.repeat(np.arange(len(lead)), m), lead.ravel()).reshape(lead.shape).astype(float)
+                first[~np.isfinite(np.take_along_axis(bound, lead, 1))] = -np.inf
+                first = first.min(axis=1)
+                np.maximum(floor, first - np.abs(first) * 1e-12, out=floor)
+            alive = ~same
+            for mine, theirs in zip(self.forms, other.forms):
+                alive &= theirs @ mine.T + scale >= floor[:, None]
+                self.pairs.append(int(alive.sum()))
+            q, c = np.nonzero(alive)
             steps = range(0, len(q), 1 << 18)
-            scores = np.concatenate([self.exact(other.vectors, q[i : i + (1 << 18)], c[i : i + (1 << 18)]) for i in steps] or [np.zeros(0, np.int64)])
+            scores = np.concatenate([self.exact(other.vectors, q[i : i + (1 << 18)], c[i : i + (1 << 18)]) for i in steps] or [none])
         order = np.lexsort((ids[c], ~scores, q))
         q, c, scores = q[order], c[order], scores[order]
         starts = np.searchsorted(q, np.arange(len(own)))
-        rank = np.arange(len(q)) - starts[q] if len(q) else np.zeros(0, np.int64)
+        rank = np.arange(len(q)) - starts[q] if len(q) else none
         return q[rank < k], c[rank < k], scores[rank < k]
 
 
@@ -149,8 +147,9 @@ def top_k(
     infinite components, or have a null id, take no part; repeated ids count once, with their best score.
 
     Queries and rows are packed in blocks of bounded size, every block of queries meets every block of rows, and
-    within a pair bounds from segment statistics, coarse to fine, leave few pairs to score exactly. Each pair of blocks
-    sends on at most k rows a query.
+    within a pair bounds from segment statistics, coarse to fine, decide which pairs are scored exactly. How many those
+    are depends on the data: vectors without structure, as random ones are, survive all but the finest level. Each pair
+    of blocks sends on at most k rows a query.
     """
     scaled = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(
         F.col("vec_id").cast("long").alias("vec_id"),
@@ -186,20 +185,24 @@ def top_k(
     pairs = asked.join(candidates, ["dim", "row_block"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floors: dict[bytes, np.ndarray] = {}  # what blocks of queries have reached in this task
         for batch in batches:
             for row in batch.to_pylist():
                 dim = row["dim"]
                 own, ids = np.frombuffer(row["query_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
                 mine = SegmentIndex(np.floor(np.frombuffer(row["vectors"], "<f8").reshape(len(ids), dim)))
                 theirs = SegmentIndex(np.floor(np.frombuffer(row["query_vectors"], "<f8").reshape(len(own), dim)))
-                q, c, s = mine.search(theirs, own, ids, k)
+                floor = floors.setdefault(row["query_ids"], np.full(len(own), -np.inf))
+                q, c, s = mine.search(theirs, own, ids, k, floor)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(own[q]), pa.array(ids[c]), pa.array(s)], names=["query_id", "vec_id", "score"]
                 )
 
     total = sum(-(-n // row_block) * -(-max(q, 1) // query_block) for n, q in counts.values())
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 16))  # a task holds some pairs at once
-    dealt = pairs.repartition(parts, "dim", "row_block", F.xxhash64("query_ids"))
+    # Sixteen blocks of rows meet one block of queries in a task, which carries the floor from one to the next.
+    turn = F.floor(F.col("row_block") / 16)
+    dealt = pairs.repartition(parts, "dim", turn, F.xxhash64("query_ids")).sortWithinPartitions("dim", "query_ids")
     found = dealt.mapInArrow(score, "query_id long, vec_id long, score long")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     lists = best.groupBy("query_id").agg(F.collect_list(F.struct((-F.col("score").cast("decimal(20,0)")).alias("low"), "vec_id", "score")).alias("all"))
@@ -264,10 +267,47 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield pa.concat_tables(held)
 
 
+def _roots(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix of links, the smallest row reachable."""
+    root = np.arange(len(linked))
+    while True:
+        low = np.minimum(root, np.where(linked, root[None, :], len(root)).min(axis=1, initial=len(root)))
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
+def _elsewhere(linked: np.ndarray, filters: np.ndarray, here: int) -> np.ndarray:
+    """Which linked pairs also share a filter of a smaller number than ``here``, where they are counted."""
+    rows = np.flatnonzero(linked.any(axis=1))
+    out = np.zeros(linked.shape, bool)
+    own = filters[rows]
+    numbers, back, counts = np.unique(own, return_inverse=True, return_counts=True)
+    use = np.flatnonzero((numbers < here) & (counts > 1))
+    if not len(use):
+        return out
+    place = np.full(len(numbers), -1)
+    place[use] = np.arange(len(use))
+    column, row = place[back.reshape(own.shape)], np.repeat(np.arange(len(rows))[:, None], own.shape[1], 1)
+    common = np.zeros((len(rows), len(rows)), np.float32)
+    for at in range(0, len(use), 1024):
+        inside = (column >= at) & (column < at + 1024)
+        has = np.zeros((len(rows), 1024), np.float32)
+        has[row[inside], column[inside] - at] = 1.0
+        common += has @ has.T
+    out[np.ix_(rows, rows)] = common > 0
+    return out & linked
+
+
 def cosine_links(points: DataFrame, least: float, quota: int = 40, tile: int = 1024) -> DataFrame:
-    """``points(label, point, v array<double> of norm 1)`` -> ``(label, a, b)`` with a < b, each linked pair once.
+    """``points(label, point, m, v array<double> of norm 1)`` -> ``(a, b, n)``: links summed up.
 
-    Points join on the ``quota`` filters they are nearest to, as many for every point at any size. A filter with more than ``tile`` points is cut in tiles and every two tiles
+    Rows with null n are links a-b that join all points which links join. The n of the other rows, where a = b, add up
+    to the multiplicities m of all points that a is linked to. So no pair is listed: a tile gives a row or two a point.
+
+    Points join on the ``quota`` filters they are nearest to, as many for every point at any size; a pair that shares
+    several is counted in the first of them. A filter with more than ``tile`` points is cut in tiles and every two tiles
     meet, so that no task gets a large one and none of its pairs is left out. The number of code words grows with the
     fourth root of the largest label's points, so that filters hold about as many at any size.
     """
@@ -284,73 +324,81 @@ def cosine_links(points: DataFrame, least: float, quota: int = 40, tile: int = 1
                 batch = whole.slice(at, 512)
                 sizes = np.array(batch.column(2).value_lengths())
                 for dim in np.unique(sizes).tolist():
-                    pick = np.flatnonzero(sizes == dim)
-                    part = batch.take(pa.array(pick))
-                    row, number = shared.value[dim].decode(_matrix(part.column(2)), quota)
-                    taken = part.select([0, 1]).take(pa.array(row))
+                    part = batch.take(pa.array(np.flatnonzero(sizes == dim)))
+                    _, number = shared.value[dim].decode(_matrix(part.column(2)), quota)
+                    lists = pa.array(list(number.reshape(part.num_rows, -1)), pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays(
-                        [taken.column(0), taken.column(1), pa.array(np.full(len(row), dim, np.int32)), pa.array(number)],
-                        names=["label", "point", "dim", "filter"],
+                        [part.column(0), part.column(1), pa.array(np.full(part.num_rows, dim, np.int32)), lists],
+                        names=["label", "point", "dim", "filters"],
                     )
 
     label = points.schema["label"].dataType.simpleString()
-    passed = materialize(points.select("label", "point", "v").mapInArrow(pass_filters, f"label {label}, point long, dim int, filter long"))
-    held = passed.groupBy("label", "dim", "filter").agg(F.count("*").alias("n")).where("n > 1")
+    passed = points.select("label", "point", "v").mapInArrow(pass_filters, f"label {label}, point long, dim int, filters array<long>")
+    passed = materialize(passed)
+    each = passed.select("label", "dim", "point", F.explode("filters").alias("filter"))
+    held = each.groupBy("label", "dim", "filter").agg(F.count("*").alias("n")).where("n > 1")
     tiles = F.ceil(F.col("n") / tile).cast("int")
     mine = F.pmod(F.xxhash64("point"), tiles).cast("int")
     met = (
-        passed.join(held, ["label", "dim", "filter"])
+        each.join(held, ["label", "dim", "filter"])
         .withColumn("tiles", tiles)
         .withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select("label", "dim", "filter", F.least("mine", "other").alias("t1"), F.greatest("mine", "other").alias("t2"), "mine", "point")
     )
-    dealt = met.join(points.select("label", "point", "v"), ["label", "point"])
+    full = materialize(points.select("label", "point", "m", "v").join(passed.select("label", "point", "filters"), ["label", "point"]))
     keys = ("dim", "filter", "t1", "t2", "label")
-    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
+    columns = [*keys, "point", "mine", "m", "v", "filters"]
+    dealt = met.join(full, ["label", "point"]).select(*columns).repartition(*keys).sortWithinPartitions(*keys)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, keys):
             group = group.combine_chunks()
             v = _matrix(group.column("v").chunk(0))
-            ids, mine = np.array(group.column("point")), np.array(group.column("mine"))
-            t1, t2 = group.column("t1")[0].as_py(), group.column("t2")[0].as_py()
-            left = np.flatnonzero(mine == t1)
-            right = np.flatnonzero(mine == t2)
-            i, j = np.nonzero(v[left] @ v[right].T >= least - 1e-9)
-            i, j = left[i], right[j]
-            once = (ids[i] < ids[j]) if t1 == t2 else (ids[i] != ids[j])
-            i, j = i[once], j[once]
-            exact = np.einsum("ij,ij->i", v[i], v[j]) >= least
-            i, j = i[exact], j[exact]
-            if len(i):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        group.column("label").chunk(0).take(pa.array(i)),
-                        pa.array(np.minimum(ids[i], ids[j])),
-                        pa.array(np.maximum(ids[i], ids[j])),
-                    ],
-                    names=["label", "a", "b"],
-                )
+            ids, mine, m = (np.array(group.column(c)) for c in ("point", "mine", "m"))
+            filters = np.array(group.column("filters").chunk(0).flatten()).reshape(len(ids), -1)
+            cosine = v @ v.T
+            linked = cosine >= least
+            i, j = np.nonzero(np.abs(cosine - least) < 1e-9)
+            linked[i, j] = np.einsum("ij,ij->i", v[i], v[j]) >= least
+            np.fill_diagonal(linked, False)
+            if group.column("t1")[0] != group.column("t2")[0]:
+                linked &= mine[:, None] != mine[None, :]
+            if not linked.any():
+                continue
+            counts = (linked & ~_elsewhere(linked, filters, group.column("filter")[0].as_py())) @ m
+            root = _roots(linked)
+            star, counted = np.flatnonzero(root != np.arange(len(root))), np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([ids[root[star]], ids[counted]])),
+                    pa.array(np.concatenate([ids[star], ids[counted]])),
+                    pa.array([None] * len(star) + counts[counted].tolist(), pa.int64()),
+                ],
+                names=["a", "b", "n"],
+            )
 
-    columns = ["label", "point", "dim", "filter", "t1", "t2", "mine", "v"]
-    return dealt.select(*columns).mapInArrow(verify, f"label {label}, a long, b long").distinct()
+    return dealt.mapInArrow(verify, "a long, b long, n long")
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     """``vectors(vec_id, embedding, label)`` -> ``(vec_id, n_links, component_id, kept)``, one row for each row.
 
     Rows of equal, non-null label are linked when the filters bring them together and their cosine, in doubles, is at
-    least ``least``. Null or zero vectors, those with null or non-finite components, and rows without a label link with
+    least ``least``; vectors of any magnitude are compared, those out of the range of squares after division by their
+    largest component. Null or zero vectors, those with null or non-finite components, and rows without a label link with
     nothing. Equal vectors of a label are one point while links are sought, and all of them are linked to one another.
     component_id is the smallest vec_id reachable, itself included. Repeated ids are rows of their own; a null id gets
     the component of its links.
     """
     double = F.transform("embedding", lambda x: x.cast("double"))
+    rows = vectors.select("vec_id", "label", F.when(usable(F.col("embedding")), double).alias("v"))
+    # Squares of very large or small components leave the range of doubles: such vectors are divided first.
+    top = F.coalesce(F.array_max(F.transform("v", F.abs)), F.lit(0.0))
+    rows = rows.withColumn("key", F.when(F.col("label").isNotNull() & (top > 0), F.xxhash64("label", "v")))
+    rows = rows.withColumn("top", top).withColumn("v", F.when(F.col("top").between(1e-100, 1e100), F.col("v")).otherwise(F.transform("v", lambda x: F.try_divide(x, F.col("top")))))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    rows = vectors.select("vec_id", "label", F.when(usable(F.col("embedding")), double).alias("v")).withColumn("norm", norm)
-    fine = F.col("label").isNotNull() & F.col("v").isNotNull() & (F.col("norm") > 0) & (F.col("norm") < float("inf"))
-    rows = rows.withColumn("key", F.when(fine, F.xxhash64("label", "v"))).select("vec_id", "label", "v", "norm", "key")
+    rows = rows.select("vec_id", "label", "v", norm.alias("norm"), "key")
     rows = materialize(rows)
     points = (
         rows.where("key is not null")
@@ -361,9 +409,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
         points.select("label", F.col("key").alias("point"), "m", "least", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
     )
     links = materialize(cosine_links(points, least))
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counted = both.join(points.select(F.col("point").alias("b"), "m"), "b").groupBy("a").agg(F.sum("m").alias("others"))
-    roots = connected_components(links.select("a", "b"))
+    counted = links.where("n is not null").groupBy("a").agg(F.sum("n").alias("others"))
+    roots = connected_components(links.where("n is null").select("a", "b"))
     named = points.select("point", "m", "least").join(roots.select(F.col("node").alias("point"), "root"), "point", "left")
     named = named.withColumn("root", F.coalesce("root", "point"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
