@@ -26,9 +26,11 @@ def local_session(cores: int = 8, name: str = "tidemark", **conf: str) -> SparkS
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder all executors share: the session's spark.checkpoint.dir; a local one where a local master has none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-tidemark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
