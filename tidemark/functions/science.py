@@ -77,3 +77,23 @@ def shoelace(xs: Column, ys: Column) -> Column:
     nxt = lambda i: F.when(i == n, 1).otherwise(i + 1)
     cross = lambda s, i: s + F.element_at(xs, i) * F.element_at(ys, nxt(i)) - F.element_at(xs, nxt(i)) * F.element_at(ys, i)
     return F.abs(F.aggregate(at, F.lit(0.0), cross)) / 2
+
+
+def inside(x: Column, y: Column, ring: Column) -> Column:
+    """Whether a point lies in a polygon, whose ring is an array of (x, y) given once: a ray to the right crosses it
+    an odd number of times."""
+    n = F.size(ring)
+    at = lambda i: F.element_at(ring, F.when(i > n, 1).otherwise(i))
+
+    def crosses(i: Column) -> Column:
+        a, b = at(i), at(i + 1)
+        meets = a["x"] + (y - a["y"]) * (b["x"] - a["x"]) / F.nullif(b["y"] - a["y"], F.lit(0.0))
+        return F.coalesce(((y < a["y"]) != (y < b["y"])) & (x < meets), F.lit(False))
+
+    return F.aggregate(F.sequence(F.lit(1), n), F.lit(False), lambda s, i: s != crosses(i))
+
+
+def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Distance along a sphere of the earth's mean radius."""
+    half = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
+    return 2 * 6371.0088 * F.asin(F.sqrt(F.least(F.lit(1.0), half)))
