@@ -45,3 +45,16 @@ def test_fallback_checks_and_years(spark, tmp_path):
 def test_report(spark):
     text = sinks.report("Flow", {"mean": 3.5, "Years": spark.createDataFrame([(2001, None)], "year int, v double")})
     assert "- mean: 3.5" in text and "| 2001 | n/a |" in text
+
+
+def test_a_cut_table_says_so(spark):
+    made = sinks.report("t", {"rows": spark.range(5)}, most=3)
+    assert made.count("| ") == 4 and "Only the first 3 rows" in made
+    assert "Only" not in sinks.report("t", {"rows": spark.range(3)}, most=3)
+
+
+def test_features(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 79.5, 28.25, "a")], "id int, lon double, lat double, name string")
+    sinks.write_features(rows, str(tmp_path / "f"), "lon", "lat")
+    got = json.loads(spark.read.text(str(tmp_path / "f")).first()[0])
+    assert got == {"type": "Feature", "geometry": {"type": "Point", "coordinates": [79.5, 28.25]}, "properties": {"id": 1, "name": "a"}}

@@ -61,11 +61,78 @@ def action(text: Column, latest: int) -> Column:
     return out.otherwise("help")
 
 
+def corridor(text: Column, default: float, least: float = 10.0, most: float = 2000.0) -> Column:
+    """The first distance that a text names, or the default, within bounds, in whole metres."""
+    first = F.coalesce(F.try_element_at(distances(text), F.lit(1)), F.lit(default))
+    return F.least(F.greatest(first, F.lit(least)), F.lit(most)).cast("int")
+
+
+def year_pair(found: Column, default: int, latest: int, first: int = 1990) -> Column:
+    """Start and end of a comparison from the years found, and notes on what was moved, as a struct.
+
+    One year before ``latest`` is the start; without one the default is. Both are moved into ``first`` to ``latest``,
+    and the start before the end.
+    """
+    n = F.size(found)
+    a = F.when((n >= 2) | ((n == 1) & (F.try_element_at(found, F.lit(1)) < latest)), F.try_element_at(found, F.lit(1))).otherwise(default)
+    b = F.when(n >= 2, F.try_element_at(found, F.lit(-1))).otherwise(latest)
+    end, start = F.least(b, F.lit(latest)), F.greatest(a, F.lit(first))
+    moved = lambda x, to: F.concat(x.cast("string"), F.lit(f" moved to {to}"))
+    notes = F.concat_ws(
+        "; ",
+        F.when(b > latest, moved(b, latest)),
+        F.when(a < first, moved(a, first)),
+        F.when(start >= end, F.concat(F.lit("start moved to "), (end - 1).cast("string"))),
+    )
+    return F.struct(F.when(start >= end, end - 1).otherwise(start).alias("year_a"), end.alias("year_b"), notes.alias("notes"))
+
+
+# Where messages name a status, which status ranks before which, the kinds of statuses, and the wordings
+# of other kinds in the order in which they are tried.
+STATUS = (
+    r"HTTP response code: (\d{3})",
+    r"HTTP response code on \S+: (\d{3})",
+    r"HTTP error code(?: for \S+ range \S+)?: (\d{3})",
+    r"response_code=(\d+)",
+    r"(?m)^(\d{3}): ",
+)
+STATUS_RANK = (403, 409, 404, 429, 503, 500, 502, 504)
+STATUS_KIND = {403: "forbidden", 409: "forbidden", 404: "not_found", 429: "throttled", 503: "throttled", 500: "server", 502: "server", 504: "server", 206: "truncated", 0: "network"}
+MESSAGE_KINDS = (
+    ("stalled", "Operation too slow"),
+    ("timeout", "timed out|Timeout was reached"),
+    ("network", "[Cc]ould not resolve|Couldn.t resolve|Connection reset|Connection refused|SSL|Recv failure|Send failure|Failed to connect|connect\\(\\)"),
+    ("truncated", r"got \d+ bytes, expected \d+|Read error|partial file"),
+    ("decode", "[Dd]ecod|decompress|ZIPDecode|LZW|corrupt"),
+)
+
+
+def read_status(message: Column) -> Column:
+    """Of all statuses that a message names, the one that ranks first, else the least error, else 0, else 206."""
+    found = F.flatten(F.array(*[F.regexp_extract_all(message, F.lit(p), F.lit(1)) for p in STATUS])).cast("array<int>")
+    ranked = F.filter(F.array(*map(F.lit, STATUS_RANK)), lambda c: F.array_contains(found, c))
+    bare = F.when(F.array_contains(found, 0), 0).when(F.array_contains(found, 206), 206)
+    return F.coalesce(F.try_element_at(ranked, F.lit(1)), F.array_min(F.filter(found, lambda c: c >= 400)), bare)
+
+
+def read_kind(message: Column, status: Column, expiry: Column, now: Column, of_reading: Column) -> Column:
+    """A failed read's kind; ``of_reading``: whether the failure came from reading at all."""
+    kind = F.when((expiry <= now) & (status.isNull() | (status == 403)), "expired")
+    for code, name in STATUS_KIND.items():
+        if code >= 400:
+            kind = kind.when(status == code, name)
+    kind = kind.when(status >= 500, "server").when(status >= 400, "io")
+    for name, words in MESSAGE_KINDS:
+        kind = kind.when(F.regexp_like(message, F.lit(words)), name)
+    return kind.when(status == 0, "network").when(status == 206, "truncated").when(of_reading, "io").otherwise("error")
+
+
 def clean_message(text: Column, limit: int = 200) -> Column:
     """An error message without signed addresses: a URL becomes its file name, tokens go, blanks are single."""
-    t = F.regexp_replace(text, r"(?:/vsicurl/)?https?://[^\s,'\"()?]*?([^\s,'\"()/?]*)(?:\?[^\s,'\"()]*)?(?=[\s,'\"()]|$)", "$1")
-    t = F.regexp_replace(t, r"\b(?:sig|se|st|sp|sv|sr)=[^&\s,]*&?", "")
-    t = F.trim(F.regexp_replace(t, r"\s+", " "))
+    t = F.regexp_replace(text, r"(?:/vsicurl/)?https?://(?:[^\s,'\"()?/]*/)*([^\s,'\"()?/]*)(?:\?[^\s,'\"()]*)?", "$1")
+    t = F.regexp_replace(F.regexp_replace(t, r"\S+, band (\d+): ", "band $1: "), r"\?[^\s,'\")]+", "")
+    t = F.regexp_replace(t, r"\b(?:sig|se|st|sp|sv|sr|skoid|sktid|skt|ske|sks|skv)=[^&\s,]*&?", "")
+    t = F.trim(F.regexp_replace(F.regexp_replace(t, r"\S*%(?:3D|2F|2B)\S*", ""), r"\s+", " "))
     return F.when(F.length(t) > limit, F.concat(F.substring(t, 1, limit - 1), F.lit("…"))).otherwise(t)
 
 

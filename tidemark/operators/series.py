@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -150,17 +152,22 @@ def reading(slope: Column, p: Column) -> Column:
     )
 
 
-def ewm(series: DataFrame, key: str, value: str, half_life: float, reach: int = 120) -> DataFrame:
-    """Exponentially weighted mean s_t = (1-a) s_(t-1) + a x_t from s_0 = x_0, in closed form over ``reach`` rows.
+def ewm(series: DataFrame, key: str, value: str, half_life: float) -> DataFrame:
+    """Exponentially weighted mean s_t = (1-a) s_(t-1) + a x_t from s_0 = x_0, over the whole history.
 
-    Rows further back than ``reach`` weigh (1-a)^reach at most together, so the window stays bounded; the first row's
-    weight is exact while the series is shorter than that.
+    Rows lie in blocks of 500 half-lives. Within a block the sum is a running one, scaled to the block's start; from
+    the block before only its end counts, as all earlier rows together weigh 2^-500 there, beyond a double's digits.
     """
-    a = 1 - 2 ** (-1 / half_life)
+    a, block = 1 - 2 ** (-1 / half_life), math.ceil(500 * half_life)
     w = W.partitionBy(key).orderBy("date")
-    d = series.withColumn("xs", F.collect_list(value).over(w.rowsBetween(-reach, 0)))
-    step = F.aggregate(F.slice("xs", 2, reach), F.element_at("xs", 1), lambda s, x: (1 - a) * s + a * x)
-    return d.withColumn("ewm", step).drop("xs")
+    d = series.withColumn("_n", F.row_number().over(w) - 1).withColumn("_block", F.floor(F.col("_n") / block))
+    d = d.withColumn("_at", F.col("_n") - F.col("_block") * block)
+    part = F.when(F.col("_n") == 0, F.col(value)).otherwise(a * F.col(value)) * F.pow(F.lit(2.0), F.col("_at") / half_life)
+    inside = F.sum(part).over(W.partitionBy(key, "_block").orderBy("_at"))
+    d = d.withColumn("_own", inside * F.pow(F.lit(2.0), -F.col("_at") / half_life))
+    before = F.max_by("_own", "_n").over(W.partitionBy(key).orderBy("_block").rangeBetween(-1, -1))
+    carried = F.coalesce(before, F.lit(0.0)) * F.pow(F.lit(2.0), -(F.col("_at") + 1) / half_life)
+    return d.withColumn("ewm", F.col("_own") + carried).drop("_n", "_block", "_at", "_own")
 
 
 def days_since(flag: Column, key: str = "segment") -> Column:

@@ -244,10 +244,10 @@ def robust(spark: SparkSession, sf: str) -> DataFrame:
     """robust z-scores: two medians a group, joined back."""
     s = scenes(spark, sf)
     med = s.groupBy("orbit").agg(F.median("cloud").alias("med"), F.count("*").alias("n"))
-    d = s.join(F.broadcast(med), "orbit")
+    d = s.join(med, "orbit")
     mad = d.groupBy("orbit").agg((1.4826 * F.median(F.abs(F.col("cloud") - F.col("med")))).alias("mad"))
     z = F.when((F.col("n") >= 5) & (F.col("mad") > 1e-9), (F.col("cloud") - F.col("med")) / F.col("mad"))
-    return d.join(F.broadcast(mad), "orbit").withColumn("z", z)
+    return d.join(mad, "orbit").withColumn("z", z)
 
 
 @query(f"WITH {ROBUST} SELECT scene, round(z,5) AS z FROM z", SCENES)
@@ -316,9 +316,9 @@ def fusion_label(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {ROBUST}, p AS (SELECT scene, orbit, z, CASE WHEN orbit='error' THEN 'NOT CROPLAND' WHEN cloud>95 THEN 'INSUFFICIENT DATA' WHEN z<=-1.2 THEN 'HIGH' WHEN z<=-0.9 THEN 'WATCH' ELSE 'LOW' END AS priority FROM z),
+    f"""WITH {ROBUST}, p AS (SELECT scene, aoi, orbit, z, CASE WHEN orbit='error' THEN 'NOT CROPLAND' WHEN cloud>95 THEN 'INSUFFICIENT DATA' WHEN z<=-1.2 THEN 'HIGH' WHEN z<=-0.9 THEN 'WATCH' ELSE 'LOW' END AS priority FROM z),
  q AS (SELECT *, list_position(['HIGH','WATCH','LOW','INSUFFICIENT DATA','NOT CROPLAND'], priority) AS o FROM p)
- SELECT orbit, priority, scene, CAST(row_number() OVER (PARTITION BY orbit ORDER BY o, round(z,9) ASC NULLS LAST, scene) AS INT) AS place FROM q""",
+ SELECT aoi, orbit, priority, scene, CAST(row_number() OVER (PARTITION BY aoi ORDER BY o, round(z,9) ASC NULLS LAST, scene) AS INT) AS place FROM q""",
     SCENES,
 )
 def scouting_rules(spark: SparkSession, sf: str) -> DataFrame:
@@ -327,8 +327,8 @@ def scouting_rules(spark: SparkSession, sf: str) -> DataFrame:
     prio = F.when(F.col("orbit") == "error", "NOT CROPLAND").when(F.col("cloud") > 95, "INSUFFICIENT DATA").when(z <= -1.2, "HIGH").when(z <= -0.9, "WATCH").otherwise("LOW")
     q = robust(spark, sf).withColumn("priority", prio)
     order = F.array_position(F.array(*map(F.lit, ("HIGH", "WATCH", "LOW", "INSUFFICIENT DATA", "NOT CROPLAND"))), F.col("priority"))
-    place = F.row_number().over(W.partitionBy("orbit").orderBy(order, F.round(z, 9).asc_nulls_last(), "scene"))
-    return q.select("orbit", "priority", "scene", place.alias("place"))
+    place = F.row_number().over(W.partitionBy("aoi").orderBy(order, F.round(z, 9).asc_nulls_last(), "scene"))
+    return q.select("aoi", "orbit", "priority", "scene", place.alias("place"))
 
 
 @query("WITH k AS (SELECT unnest(['1-URGENT','2-HIGH','3-MEDIUM','4-NOT SPECIFIED','5-LOW','6-NONE']) AS priority) SELECT priority, count(o_orderkey) AS n FROM k LEFT JOIN orders ON o_orderpriority=priority GROUP BY 1")
@@ -397,14 +397,13 @@ def season_sets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT c_custkey AS id, c_acctbal AS x, c_custkey%97 AS y FROM customer) SELECT id, round(abs((x/100)*(y+3)-(x/100+5)*y + (x/100+5)*y-(x/100+5)*(y+3) + (x/100+5)*(y+3)-(x/100)*(y+3) + 0)/2,4) AS area FROM t""".replace(
-        "abs((x/100)*(y+3)-(x/100+5)*y + (x/100+5)*y-(x/100+5)*(y+3) + (x/100+5)*(y+3)-(x/100)*(y+3) + 0)/2", "15.0/2"
-    )
+    """WITH t AS (SELECT c_custkey AS id, c_acctbal/100 AS x, c_custkey%97 AS y, 1+c_nationkey AS w, 2+c_custkey%11 AS h FROM customer) SELECT id, round(w*h+w*(h/2.0)/2,4) AS area FROM t"""
 )
 def polygon_area(spark: SparkSession, sf: str) -> DataFrame:
-    """Triangles with legs of 5 and 3 at every customer's place."""
+    """A gabled outline at every customer's place: a box of their own size under a triangle half as high."""
     x, y = F.col("c_acctbal") / 100, (F.col("c_custkey") % 97).cast("double")
-    area = S.shoelace(F.array(x, x + 5, x), F.array(y, y, y + 3))
+    w, h = (1 + F.col("c_nationkey")).cast("double"), (2 + F.col("c_custkey") % 11).cast("double")
+    area = S.shoelace(F.array(x, x + w, x + w, x + w / 2, x), F.array(y, y, y + h, y + 1.5 * h, y + h))
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.round(area, 4).alias("area"))
 
 

@@ -79,68 +79,95 @@ def parse_question_action(spark: SparkSession, sf: str) -> DataFrame:
     return questions(spark, sf).select("id", T.action(F.col("question"), 2026).alias("action"))
 
 
+LATEST = 2025  # the latest complete season, a year before the last that a question may name
+
+
 @query(
-    f"""SELECT id, CAST(CASE WHEN len(d)>0 THEN least(greatest(d[1],10),2000) ELSE 250 END AS INT) AS corridor, CAST(CASE WHEN len(y)>=2 THEN greatest(y[1],1990) WHEN len(y)=1 THEN greatest(y[1],1990) ELSE 2017 END AS INT) AS year_a,
- CAST(CASE WHEN len(y)>=2 THEN least(y[len(y)],2026) ELSE 2026 END AS INT) AS year_b FROM (SELECT id, {DIST_SQL} AS d, {YEARS_SQL} AS y FROM q)""",
+    f"""WITH d AS (SELECT id, {DIST_SQL} AS d, {YEARS_SQL} AS y FROM q), p AS (SELECT id, d, CASE WHEN len(y)>=2 OR (len(y)=1 AND y[1]<{LATEST}) THEN y[1] ELSE 2017 END AS a0, CASE WHEN len(y)>=2 THEN y[len(y)] ELSE {LATEST} END AS b0 FROM d),
+ c AS (SELECT *, least(b0,{LATEST}) AS b, greatest(a0,1990) AS a FROM p)
+ SELECT id, CAST(least(greatest(CASE WHEN len(d)>0 THEN d[1] ELSE 250 END,10),2000) AS INT) AS corridor, CAST(CASE WHEN a>=b THEN b-1 ELSE a END AS INT) AS year_a, CAST(b AS INT) AS year_b,
+ concat_ws('; ', CASE WHEN b0>{LATEST} THEN b0||' moved to {LATEST}' END, CASE WHEN a0<1990 THEN a0||' moved to 1990' END, CASE WHEN a>=b THEN 'start moved to '||(b-1) END) AS notes FROM c""",
     QUESTIONS,
 )
 def question_defaults(spark: SparkSession, sf: str) -> DataFrame:
-    """the corridor and the pair of years of a question, clamped, with defaults."""
+    """the corridor and the pair of years of a question, clamped, with defaults, and what was moved."""
     q = T.tidy(F.col("question"))
-    d = questions(spark, sf).select("id", T.distances(q).alias("d"), T.years(q, 2026).alias("y"))
-    first, last = F.try_element_at("y", F.lit(1)), F.try_element_at("y", F.lit(-1))
-    corridor = F.coalesce(F.least(F.greatest(F.try_element_at("d", F.lit(1)), F.lit(10.0)), F.lit(2000.0)), F.lit(250.0)).cast("int")
-    corridor = F.when(F.size("d") > 0, corridor).otherwise(250)
-    a = F.when(F.size("y") >= 1, F.greatest(first, F.lit(1990))).otherwise(2017)
-    b = F.when(F.size("y") >= 2, F.least(last, F.lit(2026))).otherwise(2026)
-    return d.select("id", corridor.alias("corridor"), a.alias("year_a"), b.alias("year_b"))
+    d = questions(spark, sf).select("id", T.corridor(q, 250.0).alias("corridor"), T.year_pair(T.years(q, 2026), 2017, LATEST).alias("p"))
+    return d.select("id", "corridor", "p.year_a", "p.year_b", "p.notes")
+
+
+# Which words name which reach, in the order in which they are tried.
+REACHES = (("lower", ("lower", "mouth", "overflow")), ("urban", ("built-up", "urban", "kiln")), ("upper", ("source", "upper", "wheat")))
+
+
+@query(
+    "SELECT id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(q,'{w}')" for w in words) + f" THEN '{name}'" for name, words in REACHES) + " END AS reach FROM q",
+    QUESTIONS,
+)
+def parse_reach(spark: SparkSession, sf: str) -> DataFrame:
+    """the first reach that has a word in the question."""
+    q, reach = T.tidy(F.col("question")), None
+    for name, words in REACHES:
+        hit = F.exists(F.array(*map(F.lit, words)), lambda w: q.contains(w))  # noqa: B023
+        reach = F.when(hit, name) if reach is None else reach.when(hit, name)
+    return questions(spark, sf).select("id", reach.alias("reach"))
 
 
 MESSAGES = [
     "HTTP response code: 403 for {n}",
     "HTTP error code: 404",
     "Request for 1-2 failed with response_code=503",
-    "Operation too slow after {n} s",
-    "Connection timed out after {n} ms",
+    "Operation too slow after {n} s, response_code=206",
+    "response_code=206, msg=Operation timed out after {n} ms",
     "Could not resolve host: a.b",
     "got 10 bytes, expected {n}",
     "ZIPDecode: error at scanline {n}",
     "response_code=206",
-    "HTTP response code: 500",
+    "HTTP response code on x{n}.tif: 500",
     "something odd {n}",
     "HTTP response code: 429",
+    "Read failed. response_code=0",
+    "HTTP error code for x.tif range 0-99: 502. Retrying",
+    "HTTP response code: 404 after response_code=206 and HTTP error code: 418",
+    "503: busy",
+    "HTTP response code: 418, response_code=451",
+    "read failed",
 ]
-KINDS = [
-    ("stalled", "Operation too slow"),
-    ("timeout", "timed out|Timeout was reached"),
-    ("network", "[Cc]ould not resolve|Couldn.t resolve|Connection reset|Connection refused|SSL|Recv failure|Send failure|Failed to connect"),
-    ("truncated", r"got \d+ bytes, expected \d+|Read error|partial file"),
-    ("decode", "[Dd]ecod|decompress|ZIPDecode|LZW|corrupt"),
-]
-CODE = r"HTTP response code: (\d{3})|HTTP error code: (\d{3})|response_code=(\d+)"
-CODES = {403: "forbidden", 409: "forbidden", 404: "not_found", 429: "throttled", 503: "throttled", 500: "server", 502: "server", 504: "server"}
+HREF = "CASE id%5 WHEN 0 THEN TIMESTAMP '2024-01-10' WHEN 1 THEN TIMESTAMP '2024-02-10' END"
 
 
 @query(
-    f"""WITH m AS (SELECT event_id AS id, {pick_sql(MESSAGES, 'event_id', 'user_id')} AS m FROM events), s AS (SELECT id, m, TRY_CAST(coalesce(nullif(regexp_extract(m,'HTTP response code: (\\d{{3}})',1),''),nullif(regexp_extract(m,'HTTP error code: (\\d{{3}})',1),''),nullif(regexp_extract(m,'response_code=(\\d+)',1),'')) AS INT) AS status FROM m)
- SELECT id, status, CASE """
-    + " ".join(f"WHEN status={c} THEN '{k}'" for c, k in CODES.items())
+    f"""WITH m AS (SELECT event_id AS id, {pick_sql(MESSAGES, 'event_id', 'user_id')} AS m FROM events),
+ c AS (SELECT id, m, {HREF} AS expiry, list_transform(flatten([{', '.join(f"regexp_extract_all(m,'{p}',1)" for p in T.STATUS)}]), lambda x: CAST(x AS INT)) AS c FROM m),
+ s AS (SELECT *, coalesce(list_filter([{', '.join(map(str, T.STATUS_RANK))}], lambda x: list_contains(c,x))[1], list_min(list_filter(c, lambda x: x>=400)), CASE WHEN list_contains(c,0) THEN 0 WHEN list_contains(c,206) THEN 206 END) AS status FROM c)
+ SELECT id, CAST(status AS INT) AS status, CASE WHEN expiry<=TIMESTAMP '2024-01-15' AND (status IS NULL OR status=403) THEN 'expired' """
+    + " ".join(f"WHEN status={c} THEN '{k}'" for c, k in T.STATUS_KIND.items() if c >= 400)
     + " WHEN status>=500 THEN 'server' WHEN status>=400 THEN 'io' "
-    + " ".join(f"WHEN regexp_matches(m,'{p}') THEN '{k}'" for k, p in KINDS)
-    + " WHEN status=206 THEN 'truncated' ELSE 'error' END AS kind FROM s"
+    + " ".join(f"WHEN regexp_matches(m,'{p}') THEN '{k}'" for k, p in T.MESSAGE_KINDS)
+    + " WHEN status=0 THEN 'network' WHEN status=206 THEN 'truncated' WHEN m LIKE '%odd%' THEN 'error' ELSE 'io' END AS kind FROM s"
 )
 def classify_error(spark: SparkSession, sf: str) -> DataFrame:
-    """a failed read's status and kind: known statuses first, then wordings in order."""
+    """a failed read's status and kind: of all statuses named the one that ranks first, an expired address, wordings."""
     m = table(spark, sf, "events").select(F.col("event_id").alias("id"), pick(MESSAGES, "event_id", "user_id").alias("m"))
-    found = F.coalesce(*[F.nullif(F.regexp_extract("m", CODE, i), F.lit("")) for i in (1, 2, 3)]).cast("int")
-    m = m.withColumn("status", found)
-    kind = None
-    for code, name in CODES.items():
-        kind = F.when(F.col("status") == code, name) if kind is None else kind.when(F.col("status") == code, name)
-    kind = kind.when(F.col("status") >= 500, "server").when(F.col("status") >= 400, "io")
-    for name, words in KINDS:
-        kind = kind.when(F.regexp_like("m", F.lit(words)), name)
-    return m.select("id", "status", kind.when(F.col("status") == 206, "truncated").otherwise("error").alias("kind"))
+    day = F.when(F.col("id") % 5 == 0, "2024-01-10").when(F.col("id") % 5 == 1, "2024-02-10").cast("timestamp")
+    m = m.withColumn("status", T.read_status(F.col("m")))
+    kind = T.read_kind(F.col("m"), F.col("status"), day, F.lit("2024-01-15").cast("timestamp"), ~F.col("m").contains("odd"))
+    return m.select("id", "status", kind.alias("kind"))
+
+
+TOLD = "'GDAL on https://h.example/a/'||page_id||'/T44_B03.tif?sv=1&sig=q%3D said: zq%2Bx%3D, band 1: failed, skoid=a1&skv=2  at '||url||' twice'||repeat('x', CAST(page_id%4*60 AS INT))"
+
+
+@query(
+    rf"""WITH m AS (SELECT page_id, {TOLD} AS t FROM pages), a AS (SELECT page_id, regexp_replace(t,'(?:/vsicurl/)?https?://(?:[^\s,''"()?/]*/)*([^\s,''"()?/]*)(?:\?[^\s,''"()]*)?','\1','g') AS t FROM m),
+ b AS (SELECT page_id, regexp_replace(regexp_replace(t,'\S+, band (\d+): ','band \1: ','g'),'\?[^\s,''")]+','','g') AS t FROM a), c AS (SELECT page_id, regexp_replace(regexp_replace(t,'\b(?:sig|se|st|sp|sv|sr|skoid|sktid|skt|ske|sks|skv)=[^&\s,]*&?','','g'),'\S*%(?:3D|2F|2B)\S*','','g') AS t FROM b),
+ d AS (SELECT page_id, trim(regexp_replace(t,'\s+',' ','g')) AS t FROM c) SELECT page_id, CASE WHEN length(t)>200 THEN left(t,199)||'…' ELSE t END AS message FROM d"""
+)
+def clean_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """messages without signed addresses and what is left of them."""
+    head, tail = F.lit("GDAL on https://h.example/a/"), F.lit("/T44_B03.tif?sv=1&sig=q%3D said: zq%2Bx%3D, band 1: failed, skoid=a1&skv=2  at ")
+    told = F.concat(head, "page_id", tail, "url", F.lit(" twice"), F.repeat(F.lit("x"), (F.col("page_id") % 4 * 60).cast("int")))
+    return table(spark, sf, "pages").select("page_id", T.clean_message(told).alias("message"))
 
 
 @query("SELECT page_id, regexp_replace(url,'^https?://(?:[^/]*/)*([^/?]*)(\\?.*)?$','\\1') AS file FROM pages")
@@ -164,16 +191,17 @@ def parse_numbers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT c_custkey AS id, concat_ws('; ', CASE WHEN c_acctbal<0 THEN 'negative' END, CASE WHEN c_acctbal>=5000 THEN 'high' END, CASE WHEN c_nationkey IN (1,2,3) THEN 'near' END) AS notes, format('{:.1f}', CAST(c_custkey AS DOUBLE)/4) AS shown FROM customer""".replace(
-        "format('{:.1f}', CAST(c_custkey AS DOUBLE)/4)", "CAST(c_custkey//4 AS VARCHAR)||' / '||CAST(c_nationkey AS VARCHAR)"
-    )
+    """WITH y AS (SELECT o_orderpriority AS segment, CAST(year(o_orderdate) AS INT) AS year, min(CAST(o_orderdate AS DATE)) AS a, max(CAST(o_orderdate AS DATE)) AS b FROM orders GROUP BY 1,2)
+ SELECT segment, year, concat_ws('; ', CASE WHEN year<1996 THEN 'warm-up' END, CASE WHEN dayofyear(a)>3 THEN 'from '||strftime(a,'%d %b %Y') END, CASE WHEN month(b)<12 OR day(b)<29 THEN 'to '||strftime(b,'%d %b %Y') END) AS notes FROM y"""
 )
 def part_notes(spark: SparkSession, sf: str) -> DataFrame:
-    """Notes that apply, in a fixed order."""
-    note = lambda c, t: F.when(c, t)
-    notes = F.concat_ws("; ", note(F.col("c_acctbal") < 0, "negative"), note(F.col("c_acctbal") >= 5000, "high"), note(F.col("c_nationkey").isin(1, 2, 3), "near"))
-    shown = F.concat(F.floor(F.col("c_custkey") / 4).cast("long").cast("string"), F.lit(" / "), F.col("c_nationkey").cast("string"))
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), notes.alias("notes"), shown.alias("shown"))
+    """A year's notes in order: warm-up, and the dates between which a part-year lies."""
+    d = F.to_date("o_orderdate")
+    y = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("segment"), F.year(d).alias("year")).agg(F.min(d).alias("a"), F.max(d).alias("b"))
+    told = lambda word, c: F.concat(F.lit(word), F.date_format(c, "dd MMM yyyy"))
+    late, short = F.dayofyear("a") > 3, (F.month("b") < 12) | (F.day("b") < 29)
+    notes = F.concat_ws("; ", F.when(F.col("year") < 1996, "warm-up"), F.when(late, told("from ", "a")), F.when(short, told("to ", "b")))
+    return y.select("segment", "year", notes.alias("notes"))
 
 
 @query(

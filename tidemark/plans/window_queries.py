@@ -68,13 +68,17 @@ def feature_rolling(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE n AS (SELECT cell, date, rain, row_number() OVER (PARTITION BY cell ORDER BY date) AS i FROM rain),
- s AS (SELECT cell, date, i, rain AS v FROM n WHERE i=1 UNION ALL SELECT n.cell, n.date, n.i, pow(2,-1/3.0)*s.v+(1-pow(2,-1/3.0))*n.rain FROM s JOIN n ON n.cell=s.cell AND n.i=s.i+1)
- SELECT cell, date, round(v,4) AS wet FROM s""",
+    "WITH RECURSIVE n AS (SELECT cell, date, rain, row_number() OVER (PARTITION BY cell ORDER BY date) AS i FROM rain), s AS (SELECT cell, date, i, rain AS v3, rain AS v10, rain AS v30, rain AS v90 FROM n WHERE i=1 UNION ALL SELECT n.cell, n.date, n.i, "
+    + ", ".join(f"pow(2,-1/{h}.0)*s.v{h}+(1-pow(2,-1/{h}.0))*n.rain" for h in (3, 10, 30, 90))
+    + " FROM s JOIN n ON n.cell=s.cell AND n.i=s.i+1) SELECT cell, date, round(v3,4) AS wet3, round(v10,4) AS wet10, round(v30,4) AS wet30, round(v90,4) AS wet90 FROM s",
     RAIN,
 )
 def feature_ewm(spark: SparkSession, sf: str) -> DataFrame:
-    return O.ewm(daily_rain(spark, sf), "cell", "rain", 3.0).select("cell", "date", F.round("ewm", 4).alias("wet"))
+    """Wetness with four half-lives, in days."""
+    d = daily_rain(spark, sf)
+    for h in (3, 10, 30, 90):
+        d = O.ewm(d, "cell", "rain", float(h)).withColumnRenamed("ewm", f"wet{h}")
+    return d.select("cell", "date", *[F.round(f"wet{h}", 4).alias(f"wet{h}") for h in (3, 10, 30, 90)])
 
 
 @query(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -15,12 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _dense(sums: DataFrame, key: str, value: str) -> DataFrame:
     """Every key on every day between the first and the last of all keys; days without rows are 0.
 
-    The days come from one row a key, so the table is made by the keys' own tasks, without a cross join.
+    The two ends are one row, which every key gets; each key's days are then made where the key is.
     """
-    ends = sums.groupBy(key).agg(F.min("date").alias("a"), F.max("date").alias("b"))
-    every = W.partitionBy(F.lit(1))
-    ends = ends.select(key, F.min("a").over(every).alias("a"), F.max("b").over(every).alias("b"))
-    ends = ends.select(key, F.explode(F.sequence("a", "b")).alias("date"))
+    ends = sums.agg(F.min("date").alias("a"), F.max("date").alias("b"))
+    keys = sums.select(key).distinct().join(F.broadcast(ends))
+    ends = keys.select(key, F.explode(F.sequence("a", "b")).alias("date"))
     return ends.join(sums, [key, "date"], "left").select(key, "date", F.coalesce(value, F.lit(0.0)).alias(value))
 
 

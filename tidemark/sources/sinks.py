@@ -31,12 +31,15 @@ def write_features(df: DataFrame, path: str, lon: str, lat: str) -> None:
 
 
 def report(title: str, parts: Mapping[str, DataFrame | str | float], most: int = 200) -> str:
-    """A Markdown report; scalars are bullets, tables (up to ``most`` rows, as a report is read by people) sections."""
+    """A Markdown report; scalars are bullets, tables sections. Of a table with more than
+    ``most`` rows, as a report is read by people, the first are shown and a line says so."""
     lines = [f"# {title}", ""]
     for name, part in parts.items():
         if isinstance(part, DataFrame):
             lines += ["", f"## {name}", "", "| " + " | ".join(part.columns) + " |", "|" + "---|" * len(part.columns)]
-            lines += ["| " + " | ".join("n/a" if v is None else str(v) for v in row) + " |" for row in part.limit(most).collect()]
+            rows = part.limit(most + 1).collect()
+            lines += ["| " + " | ".join("n/a" if v is None else str(v) for v in row) + " |" for row in rows[:most]]
+            lines += ["", f"Only the first {most} rows are shown."] * (len(rows) > most)
         else:
             lines.append(f"- {name}: {part}")
     return "\n".join(lines) + "\n"
