@@ -38,7 +38,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    made = language.predict(docs.drop("lang"), language.fit(docs))
+    made = language.predict(docs.drop("lang"), language.fit(docs), keep_text=False)
     return made.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 

@@ -207,14 +207,16 @@ def train(windows: Sequence[tuple[str, Sequence[str]]], rounds: int = 40, decay:
 
 
 def training_windows(docs: DataFrame, label: str = "lang", per_label: int = 150, per_doc: int = 12, size: int = 32) -> list:
-    """A bounded sample of labelled windows: about ``per_label`` documents of each label, chosen by a hash of their id,
-    and from each up to ``per_doc`` windows of ``size`` words, evenly spaced over the whole text."""
+    """A bounded sample of labelled windows: about ``per_label`` documents of each label, chosen by a hash of id and text,
+    and from each up to ``per_doc`` windows of ``size`` words, evenly spaced over the whole text. Rows that repeat count
+    once. Of a window only words of up to 256 letters count, so a window is bounded too."""
     rows = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull()).select(F.col(label).cast("string").alias("label"), "doc_id", "text")
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    rows = rows.withColumn("draw", F.xxhash64("doc_id", "text", F.lit("sample")))
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").agg(F.countDistinct("draw").alias("count")).collect()}
     if not counts:
         return []
     chance = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_label / n))])
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < chance[F.col("label")] * float(1 << 20))
+    picked = rows.where(F.pmod("draw", F.lit(1 << 20)) < chance[F.col("label")] * float(1 << 20)).dropDuplicates(["label", "draw"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,7 +225,7 @@ def training_windows(docs: DataFrame, label: str = "lang", per_label: int = 150,
                 joined, _, kinds, _ = textscan.scan([text])
                 starts, ends = textscan.runs(kinds)
                 letters = np.flatnonzero(kinds[starts] == textscan.LETTER)
-                words = [joined[a:b] for a, b in zip(starts[letters].tolist(), ends[letters].tolist())]
+                words = [joined[a:b] for a, b in zip(starts[letters].tolist(), ends[letters].tolist()) if b - a <= 256]
                 for i in sorted({int(x) for x in np.linspace(0, max(0, len(words) - size), per_doc)}):
                     if words[i : i + size]:
                         out[0].append(name)
@@ -240,12 +242,12 @@ def fit(docs: DataFrame, per_label: int = 150) -> Tagger | None:
     return train(windows) if windows else None
 
 
-def predict(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
-    """``docs`` plus lang_pred and score. A null text, one without a letter, or no tagger gives ``und`` and 0.0.
+def predict(docs: DataFrame, tagger: Tagger | None, keep_text: bool = True) -> DataFrame:
+    """``docs``, with or without its text, plus lang_pred and score. A null text, one without a letter, or no tagger gives ``und`` and 0.0.
 
     Columns of these names in ``docs`` are replaced; rows that repeat get equal results.
     """
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    keep = [c for c in docs.columns if c not in ("lang_pred", "score") and (keep_text or c != "text")]
     if tagger is None:
         return docs.select(*keep, F.lit(NONE).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(tagger)

@@ -31,7 +31,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class:
 
     Only labels 0 and 1 of documents that are not held out count; rows are chosen by a hash of their id, so that the
     sample is the same in every run; weight is how many labelled documents a row stands for. The chosen labels, about
-    2 * ``per_class`` rows at any size of the tables, are broadcast. Rows that repeat in all columns count once.
+    2 * ``per_class`` rows at any size of the tables, are broadcast. Of the texts that a doc_id has one, that with the
+    least hash, counts, so that the sample stays bounded.
     """
     known = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     known = known.select("doc_id", F.col(column).cast("int").alias("label")).distinct()
@@ -44,4 +45,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class:
     picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < rate * float(1 << 20))
     picked = picked.withColumn("weight", 1.0 / rate)
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
-    return texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id", "label", "text"]).select("doc_id", "label", "text", "weight")
+    found = texts.join(F.broadcast(picked), "doc_id").withColumn("digest", F.xxhash64("text"))
+    one = found.groupBy("doc_id", "label", "weight").agg(F.min_by("text", "digest").alias("text"))
+    return one.select("doc_id", "label", "text", "weight")

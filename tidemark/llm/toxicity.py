@@ -109,19 +109,19 @@ def dictionaries(
     """Both dictionaries, trained on ``sample(label, text)``.
 
     The toxic dictionary's samples are the words that at least ``share`` of the toxic documents hold, ``lift`` times as
-    often as ordinary ones do, each as often as it occurs; the ordinary dictionary's are up to about ``most_windows``
-    windows of ordinary documents.
+    often as ordinary ones do, each as often as it occurs (longer ones than 200 bytes are no words); the ordinary dictionary's are up to about ``most_windows``
+    windows of ordinary documents, of at most 2000 bytes each.
     """
     fitted = sample.dropDuplicates(["label", "text"])
     n = {r["label"]: r["count"] for r in fitted.groupBy("label").count().collect()}
     words = fitted.select("label", F.explode(F.array_distinct(F.split("text", r"[\x20\x09-\x0D]+"))).alias("word")).where("word <> ''")
     counted = words.groupBy("word").agg(F.count_if(F.col("label") == 1).alias("t"), F.count_if(F.col("label") == 0).alias("o"))
     high = (F.col("t") + 0.5) / (n.get(1, 0) + 1) >= lift * (F.col("o") + 0.5) / (n.get(0, 0) + 1)
-    found = counted.where(high & (F.col("t") >= max(min(2.0, n.get(1, 0) / 10), share * n.get(1, 0)))).collect()
-    telling = [b" " + r["word"].encode("utf-8")[:200] + b" " for r in sorted(found) for _ in range(max(1, r["t"] // 4))]
+    found = counted.where(high & (F.octet_length("word") <= 200) & (F.col("t") >= max(min(2.0, n.get(1, 0) / 10), share * n.get(1, 0)))).collect()
+    telling = [b" " + r["word"].encode("utf-8") + b" " for r in sorted(found) for _ in range(max(1, r["t"] // 4))]
     if telling:
         telling *= -(-10 * sizes[1] // sum(map(len, telling)))
-    lines = _lines(fitted.where("label = 0")).withColumn("draw", F.pmod(F.xxhash64("window"), F.lit(1 << 20)))
+    lines = _lines(fitted.where("label = 0")).where(F.octet_length("window") <= 2000).withColumn("draw", F.pmod(F.xxhash64("window"), F.lit(1 << 20)))
     chance = min(1.0, most_windows / max(1, lines.count()))
     plain = [bytes(r["window"]) for r in lines.where(F.col("draw") < chance * float(1 << 20)).select("window").collect()]
     return Distance(dictionary(sorted(plain), sizes[0]), dictionary(telling, sizes[1]) if telling else b"")
