@@ -55,3 +55,10 @@ def test_rows(spark):
     want = [(r[0], len((r[1] or "").encode()), k, k > 1024) for r, k in zip(rows, n)]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert tokencount.token_counts(docs.limit(0), PATH).count() == 0
+
+
+def test_long_words_whose_polynomial_hashes_collide(counter):
+    thue = lambda n, x: "".join(x[i.bit_count() % 2] for i in range(n))
+    texts = [thue(n, x) for n in (1024, 2048, 4096, 8192) for x in ("ab", "ba", "tq", "qt")]
+    for some in (texts, texts[::-1], [" ".join(texts)]):
+        assert tokencount.count_tokens(some, counter) == wanted(some)

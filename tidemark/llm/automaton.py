@@ -232,7 +232,8 @@ class WordEncoder:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.symbols = byte_symbols()
         self.labels = Spans(np.uint8)
-        names = [self.automaton.labels.get(i, "") for i in range(max(self.automaton.labels) + 1)]
+        shown = self.automaton.labels | {i: t for t, i in self.special.items()}
+        names = [shown.get(i, "") for i in range(max(shown) + 1)]
         self.labels.add([(n + " ").encode("utf-8") for n in names])
         self.words, self.ids = textscan.WordIndex(300_000), Spans(np.int32)
 
