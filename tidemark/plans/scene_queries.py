@@ -212,16 +212,17 @@ def corridor_pixels(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """WITH a AS (SELECT s_suppkey AS area, s_nationkey AS n, s_acctbal/1000 AS x, 2+s_suppkey%5 AS w FROM supplier), f AS (SELECT c_custkey AS scene, c_nationkey AS n, c_acctbal/1000-2 AS x, 4+c_custkey%9 AS w FROM customer),
- o AS (SELECT area, scene, f.x<=a.x AND f.x+f.w>=a.x+a.w AS contains, greatest(least(f.x+f.w,a.x+a.w)-greatest(f.x,a.x),0)/a.w AS share FROM a JOIN f ON f.n=a.n) SELECT area, scene, contains, round(share,4) AS share FROM o WHERE contains OR share>=0.9"""
+ o AS (SELECT area, scene, f.x<=a.x AND f.x+f.w>=a.x+a.w AS contains, greatest(least(f.x+f.w,a.x+a.w)-greatest(f.x,a.x),0)/a.w AS share FROM a JOIN f ON f.n=a.n) SELECT area, scene, contains, round(share,8) AS share FROM o WHERE contains OR share>=0.9"""
 )
 def footprint_cover(spark: SparkSession, sf: str) -> DataFrame:
-    """Scenes of an area's own tile that cover it whole, or nine tenths of it."""
+    """Scenes of an area's own tile that cover it whole, or nine tenths of it; shares have seven digits or more than eight,
+    so that rounding to eight meets no tie."""
     a = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("area"), F.col("s_nationkey").alias("n"), (F.col("s_acctbal") / 1000).alias("a0"), (2 + F.col("s_suppkey") % 5).alias("aw"))
     f = table(spark, sf, "customer").select(F.col("c_custkey").alias("scene"), F.col("c_nationkey").alias("n"), (F.col("c_acctbal") / 1000 - 2).alias("f0"), (4 + F.col("c_custkey") % 9).alias("fw"))
     a1, f1 = F.col("a0") + F.col("aw"), F.col("f0") + F.col("fw")
     share = F.greatest(F.least(f1, a1) - F.greatest("f0", "a0"), F.lit(0.0)) / F.col("aw")
     o = a.join(f, "n").select("area", "scene", ((F.col("f0") <= F.col("a0")) & (f1 >= a1)).alias("contains"), share.alias("share"))
-    return o.where("contains or share >= 0.9").select("area", "scene", "contains", F.round("share", 4).alias("share"))
+    return o.where("contains or share >= 0.9").select("area", "scene", "contains", F.round("share", 8).alias("share"))
 
 
 @query("SELECT l_orderkey AS id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount) AS INT) AS place, l_quantity AS area, l_discount AS distance FROM lineitem")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query
-from tidemark.streaming import runs
+from tidemark.sources.roles import table
+from tidemark.streaming import runs, stateful
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
@@ -34,4 +35,41 @@ def stream_session(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events")
 def stream_distinct_days(spark: SparkSession, sf: str) -> DataFrame:
-    return runs.settle(runs.distinct_days(events(spark, sf)), mode="append")
+    late = runs.span(table(spark, sf, "events"))
+    return runs.settle(runs.distinct_days(events(spark, sf), late), mode="append")
+
+
+@query(
+    """WITH d AS (SELECT user_id AS aoi, event_id AS scene, ts, 1-(value-100*floor(value/100))/100 AS v FROM events), s AS (SELECT *, v-lag(v) OVER w AS step FROM d WINDOW w AS (PARTITION BY aoi ORDER BY ts, scene)),
+ h AS (SELECT *, list_filter(list(step) OVER (PARTITION BY aoi ORDER BY ts, scene ROWS BETWEEN 64 PRECEDING AND 1 PRECEDING), lambda x: x IS NOT NULL) AS b FROM s),
+ m AS (SELECT *, CASE WHEN len(b)>=5 THEN list_median(b) END AS mid FROM h), k AS (SELECT *, 1.4826*list_median(list_transform(b, lambda x: abs(x-mid))) AS mad FROM m)
+ SELECT aoi, scene, round(step,6) AS step, CASE WHEN step IS NULL THEN 'NO DATA' WHEN step<=-0.05 THEN CASE WHEN mid IS NOT NULL AND mad>1e-9 AND (step-mid)/mad<=-2 THEN 'UNUSUAL DECLINE' ELSE 'DECLINE' END WHEN step>=0.05 THEN 'GREENING' ELSE 'STABLE' END AS label FROM k"""
+)
+def stream_change_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Every scene against the one before of its area, by a state of the area's last differences."""
+    e = events(spark, sf).select(F.col("user_id").alias("aoi"), F.col("event_id").alias("scene"), "ts", (1 - F.pmod("value", F.lit(100.0)) / 100).alias("value"))
+    made = runs.settle(stateful.change_labels(e), mode="append")
+    return made.select("aoi", "scene", F.round("step", 6).alias("step"), "label")
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS id, ts, event_type<>'view' AS complete FROM events),
+ c AS (SELECT key, min(ts) AS ts FROM e WHERE complete GROUP BY key UNION ALL SELECT key, n FROM (SELECT c.key, (SELECT min(e.ts) FROM e WHERE e.key=c.key AND e.complete AND e.ts>=c.ts+INTERVAL 6 HOUR) AS n FROM c) WHERE n IS NOT NULL),
+ f AS (SELECT c.key, c.ts, min(id) AS id FROM c JOIN e ON e.key=c.key AND e.ts=c.ts AND e.complete GROUP BY 1,2)
+ SELECT e.key, e.id, CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.key=e.key AND e.ts<f.ts+INTERVAL 6 HOUR AND (f.ts,f.id)<(e.ts,e.id)) THEN 'cached' ELSE 'computed' END AS answer FROM e"""
+)
+def stream_cached_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Which requests a complete result of the last six hours answers."""
+    e = events(spark, sf).select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", (F.col("event_type") != "view").alias("complete"))
+    return runs.settle(stateful.cached(e, late=runs.span(table(spark, sf, "events"))), mode="append")
+
+
+@query(
+    """SELECT CASE WHEN value IS NULL THEN 'no value' WHEN value-100*floor(value/100)>95 THEN 'too cloudy' WHEN event_id%50=0 THEN 'cut short' ELSE 'kept' END AS state, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1"""
+)
+def stream_set_aside(spark: SparkSession, sf: str) -> DataFrame:
+    """Scenes that cannot be used go to a table of their own with the reason; both tables are counted."""
+    why = F.when(F.col("value").isNull(), "no value").when(F.pmod("value", F.lit(100.0)) > 95, "too cloudy").when(F.col("event_id") % 50 == 0, "cut short")
+    good, aside = stateful.set_aside(events(spark, sf), why)
+    both = good.select("event_id", F.lit("kept").alias("state")).unionByName(aside.select("event_id", F.col("reason").alias("state")))
+    return both.groupBy("state").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))

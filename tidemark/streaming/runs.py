@@ -61,9 +61,15 @@ def sessions(events: DataFrame, gap: str = "12 hours") -> DataFrame:
     return out.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), F.col("session_window.end").cast("timestamp_ntz").alias("stop"), "n")
 
 
-def distinct_days(events: DataFrame) -> DataFrame:
-    """The first event of each user and day, by dropping duplicates within the watermark."""
-    d = events.withColumn("day", F.to_date("ts")).withWatermark("ts", "40 days")
+def span(events: DataFrame) -> str:
+    """How late a row of a table can come when its files are read in any order: the days between its ends, and one."""
+    ends = events.agg(F.datediff(F.max("ts"), F.min("ts"))).first()[0]
+    return f"{(ends or 0) + 1} days"
+
+
+def distinct_days(events: DataFrame, late: str) -> DataFrame:
+    """The first event of each user and day, by dropping duplicates within the watermark; rows later than ``late`` go."""
+    d = events.withColumn("day", F.to_date("ts")).withWatermark("ts", late)
     return d.dropDuplicatesWithinWatermark(["user_id", "day"]).select("user_id", "day")
 
 
