@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.pixels import isolation_forest
+from tidemark.session import materialize
 
 LEAST_FOREST = 12  # fields that a forest needs; with fewer the rules alone decide
 ORDER = ("HIGH", "WATCH", "LOW", "INSUFFICIENT DATA", "NOT CROPLAND")
@@ -40,7 +41,11 @@ def queue(cells: DataFrame, area: str, key: str, features: Sequence[str], stress
     d = robust_scores(cells.withColumn("_field", F.coalesce(field, F.lit(False))).withColumn("_cand", able), area, features, F.col("_cand"))
     d = d.withColumn("_count", F.count_if("_cand").over(W.partitionBy(area)))
     names = [f"z_{f}" for f in features]
-    forest = isolation_forest(d.where(F.col("_cand") & (F.col("_count") >= LEAST_FOREST)).select(area, key, *names), area, key, names)
+    # A forest takes far longer than its rows' size tells. Read from a table and dealt out by a given count, areas stay
+    # spread over all partitions; after the window, Spark would leave the shuffle out and join its small partitions to one.
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cand = materialize(d.where(F.col("_cand") & (F.col("_count") >= LEAST_FOREST)).select(area, key, *names))
+    forest = isolation_forest(cand.repartition(parts, area), area, key, names)
     d = d.join(forest, [area, key], "left").withColumn("outlier", F.coalesce("outlier", F.lit(False)))
     low = [F.col(f"z_{f}") for f in stress]
     d = d.withColumn("stress_z", F.least(*low) if len(low) > 1 else low[0])
