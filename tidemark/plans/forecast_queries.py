@@ -80,7 +80,8 @@ def skill(d: DataFrame, keys: list[str]) -> DataFrame:
     d = d.join(means, keys)
     nse = lambda o, s, m, cond: 1 - F.try_divide(F.sum(F.when(cond, F.pow(F.col(o) - F.col(s), 2))), F.sum(F.when(cond, F.pow(F.col(o) - F.col(m), 2))))
     ratio = lambda a, b: F.pow(F.try_divide(a, b) - 1, 2)
-    kge = 1 - F.sqrt(F.pow(F.corr("obs", "sim") - 1, 2) + ratio(F.stddev_pop("sim"), F.stddev_pop("obs")) + ratio(F.avg("sim"), F.avg("obs")))
+    alike = F.try_divide(F.covar_pop("obs", "sim"), F.stddev_pop("obs") * F.stddev_pop("sim"))  # null, where corr raises, for constants
+    kge = 1 - F.sqrt(F.pow(alike - 1, 2) + ratio(F.stddev_pop("sim"), F.stddev_pop("obs")) + ratio(F.avg("sim"), F.avg("obs")))
     return d.groupBy(*keys).agg(
         F.count("*").alias("days"), F.round(nse("obs", "sim", "mo", F.lit(True)), 5).alias("nse"), F.round(nse("obs", "sim", "mw", F.col("wet")), 5).alias("nse_monsoon"),
         F.round(nse("lo", "ls", "ml", ~F.col("wet")), 5).alias("log_nse_dry"), F.round(kge, 5).alias("kge"), F.round(100 * F.try_divide(F.sum(F.col("sim") - F.col("obs")), F.sum("obs")), 4).alias("pbias"),
