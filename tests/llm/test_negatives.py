@@ -41,7 +41,7 @@ def test_the_table(spark):
 def test_edge_rows_and_many_blocks(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(i, [float(rng.choice([-1, 0, 0.5, 1, 2])) for _ in range(5)], rng.choice([1, 1, 1, 2, 3])) for i in range(300)]
-    rows += [(310, None, 1), (320, [1.0, None, 1, 1, 1], 1), (330, [float("nan")] * 5, 2), (340, [float("inf")] * 5, 2), (350, [1.0] * 5, None)]
+    rows += [(310, None, 1), (320, [1.0, None, 1.0, 1.0, 1.0], 1), (330, [float("nan")] * 5, 2), (340, [float("inf")] * 5, 2), (350, [1.0] * 5, None)]
     rows += [(None, [1.0] * 5, 1), (360, [], 1), (361, [], 1), (362, [], 2), (370, [1.0, 2.0], 1), (371, [2.0, 1.0], 1), (372, [2.0, 0.9], 2)]
     rows += [(380, [0.0] * 5, 1), (390, [1e17] * 5, 1), (391, [1e17] * 5, 1), (392, [0.9e17] * 5, 2), (400, [1.7e308] * 5, 1), rows[3], rows[3], rows[20]]
     rows += [(20, [2.0, 2.0, 2.0, 2.0, 0.0], 3), (7, [1.0, 1.0, 2.0, 2.0, 2.0], 2)]
