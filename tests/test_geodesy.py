@@ -82,3 +82,16 @@ def test_segments_in_circles(spark, segment, want):
     t1, t2 = G.inside_circle(*[F.lit(float(x)) for x in segment], F.lit(0.0), F.lit(0.0), F.lit(1.0))
     r = spark.range(1).select(t1.alias("a"), t2.alias("b")).first()
     assert (r.a, r.b) == want
+
+
+def test_bounds_project_as_single_points_do(spark):
+    box = spark.createDataFrame([(79.5, 27.9, 80.25, 28.4), (81.5, -3.0, 82.0, -2.5)], "a double, b double, c double, d double")
+    points = G.edge_points(*map(F.col, "abcd"))
+    for to, shift in ((G.to_utm, lambda x: x), (G.from_utm, lambda x: x * 10000)):
+        moved = F.transform(points, lambda p: F.struct(shift(p["x"]).alias("x"), shift(p["y"]).alias("y")))
+        got = box.select("a", G.bounds(moved, to, 44).alias("b")).select("a", "b.*")
+        x, y = to(F.col("p.x"), F.col("p.y"), 44)
+        each = box.select("a", F.explode(moved).alias("p")).select("a", x.alias("x"), y.alias("y"))
+        want = each.groupBy("a").agg(F.min("x").alias("left"), F.min("y").alias("bottom"), F.max("x").alias("right"), F.max("y").alias("top"))
+        for g, w in zip(got.orderBy("a").collect(), want.orderBy("a").collect()):
+            assert g.asDict() == pytest.approx(w.asDict(), rel=1e-12, abs=1e-9)
