@@ -84,14 +84,26 @@ def test_segments_in_circles(spark, segment, want):
     assert (r.a, r.b) == want
 
 
-def test_bounds_project_as_single_points_do(spark):
-    box = spark.createDataFrame([(79.5, 27.9, 80.25, 28.4), (81.5, -3.0, 82.0, -2.5)], "a double, b double, c double, d double")
-    points = G.edge_points(*map(F.col, "abcd"))
-    for to, shift in ((G.to_utm, lambda x: x), (G.from_utm, lambda x: x * 10000)):
-        moved = F.transform(points, lambda p: F.struct(shift(p["x"]).alias("x"), shift(p["y"]).alias("y")))
-        got = box.select("a", G.bounds(moved, to, 44).alias("b")).select("a", "b.*")
-        x, y = to(F.col("p.x"), F.col("p.y"), 44)
-        each = box.select("a", F.explode(moved).alias("p")).select("a", x.alias("x"), y.alias("y"))
-        want = each.groupBy("a").agg(F.min("x").alias("left"), F.min("y").alias("bottom"), F.max("x").alias("right"), F.max("y").alias("top"))
-        for g, w in zip(got.orderBy("a").collect(), want.orderBy("a").collect()):
-            assert g.asDict() == pytest.approx(w.asDict(), rel=1e-12, abs=1e-9)
+def test_bounds_against_single_points(spark):
+    corners = [(79.5, 27.9, 80.25, 28.4), (81.5, -3.0, 82.0, -2.5)]
+    box = spark.createDataFrame([(i, *c) for i, c in enumerate(corners)], "id int, a double, b double, c double, d double")
+    names = ("left", "bottom", "right", "top")
+    for to, scale in ((G.to_utm, 1), (G.from_utm, 10000)):
+        got = G.bounds(box, ["id"], G.edge_points(*[F.col(c) * scale for c in "abcd"]), to, 44, names)
+        assert [f.name for f in got.schema] == ["id", *names]
+        edge = [
+            (i, scale * x, scale * y)
+            for i, (l, b, r, t) in enumerate(corners)
+            for k in range(23)
+            for x, y in ((l + k / 22 * (r - l), b), (l + k / 22 * (r - l), t), (l, b + k / 22 * (t - b)), (r, b + k / 22 * (t - b)))
+        ]
+        x, y = to(F.col("x"), F.col("y"), 44)
+        points = spark.createDataFrame(edge, "id int, x double, y double").select("id", x.alias("x"), y.alias("y")).collect()
+        for r in got.collect():
+            own = [p for p in points if p.id == r.id]
+            want = [min(p.x for p in own), min(p.y for p in own), max(p.x for p in own), max(p.y for p in own)]
+            assert list(r)[1:] == pytest.approx(want, rel=1e-12, abs=1e-9)
+    empty = G.bounds(box.limit(0), ["id"], G.edge_points(*map(F.col, "abcd")), G.to_utm, 44, names)
+    assert empty.collect() == []
+    nulls = spark.sql("select 1 id, double(null) a, 2d b, 81d c, 3d d")
+    assert G.bounds(nulls, ["id"], G.edge_points(*map(F.col, "abcd")), G.to_utm, 44, names).first().right is not None

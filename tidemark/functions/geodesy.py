@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The WGS84 ellipsoid and the UTM grid.
@@ -40,22 +40,6 @@ LATITUDE = (
 )
 
 
-def _inline(values: Sequence[Column], then: Callable):
-    """``then`` of the values: where code is generated, what ``then`` uses twice is worked out once all the same."""
-    return then(*values)
-
-
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then`` of a value that is worked out once, however often ``then`` uses it."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
-def _let_all(values: Sequence[Column], then: Callable[..., Column]) -> Column:
-    """``_let`` of several values, for use within lambda functions, whose bodies are never compiled."""
-    held = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
-    return _let(held, lambda x: then(*[x[f"v{i}"] for i in range(len(values))]))
-
-
 def _multiples(c: Column) -> tuple[list[Column], list[Column]]:
     """For c the cosine of an angle: the cosines of 1 to 4 times it, and the sines of those as multiples of its own sine.
     The same polynomials hold for hyperbolic cosine and sine."""
@@ -67,10 +51,10 @@ def _sum(factors: tuple[float, ...], left: list[Column], right: list[Column]) ->
     return sum((f * a * b for f, a, b in zip(factors[1:], left[1:], right[1:])), factors[0] * left[0] * right[0])
 
 
-def _twofold(factors: tuple[float, ...], s: Column, c: Column, h: Column, d: Column) -> tuple[Column, Column]:
-    """The sums of factor j times cos(2jx) sinh(2jy), and times sin(2jx) cosh(2jy), from sin 2x, cos 2x, sinh 2y and cosh 2y."""
-    (cosines, sines), (wide, high) = _multiples(c), _multiples(d)
-    return h * _sum(factors, cosines, high), s * _sum(factors, sines, wide)
+def _twofold(factors: tuple[float, ...], x: Column, y: Column) -> tuple[Column, Column]:
+    """The sums of factor j times cos(2jx) sinh(2jy), and times sin(2jx) cosh(2jy)."""
+    (cosines, sines), (wide, high) = _multiples(F.cos(2 * x)), _multiples(F.cosh(2 * y))
+    return F.sinh(2 * y) * _sum(factors, cosines, high), F.sin(2 * x) * _sum(factors, sines, wide)
 
 
 def central(zone: int) -> float:
@@ -82,53 +66,27 @@ def _pair(x: Column, y: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"))
 
 
-def _double(x: Column, y: Column) -> list[Column]:
-    return [F.sin(2 * x), F.cos(2 * x), F.sinh(2 * y), F.cosh(2 * y)]
-
-
-def to_utm(lon: Column, lat: Column, zone: int, let: Callable = _inline, pair: Callable = lambda x, y: (x, y)):
+def to_utm(lon: Column, lat: Column, zone: int) -> tuple[Column, Column]:
     """Easting and northing in metres of a northern UTM zone; southern latitudes get negative northings.
 
-    Good to less than a millimetre within some ten degrees of the zone's meridian.
+    Good to less than a millimetre within some ten degrees of the zone's meridian. Meant for plain projections, where code
+    is generated and works out once what the terms share; in lambda functions every term is worked out anew.
     """
+    s, across = F.sin(F.radians(lat)), F.radians(lon - central(zone))
+    t = F.sinh(F.atanh(s) - E * F.atanh(E * s))
+    x, y = F.atan2(t, F.cos(across)), F.atanh(F.sin(across) / F.sqrt(1 + t * t))
+    east, north = _twofold(FORWARD, x, y)
+    return EASTING + SCALE * RECTIFYING * (y + east), SCALE * RECTIFYING * (x + north)
 
-    def sphere(s: Column, across: Column):
-        return let([F.sinh(F.atanh(s) - E * F.atanh(E * s)), across], angles)
-
-    def angles(t: Column, across: Column):
-        return let([F.atan2(t, F.cos(across)), F.atanh(F.sin(across) / F.sqrt(1 + t * t))], turned)
-
-    def turned(x: Column, y: Column):
-        return let([x, y, *_double(x, y)], grid)
-
-    def grid(x: Column, y: Column, *double: Column):
-        east, north = _twofold(FORWARD, *double)
-        return pair(EASTING + SCALE * RECTIFYING * (y + east), SCALE * RECTIFYING * (x + north))
-
-    return let([F.sin(F.radians(lat)), F.radians(lon - central(zone))], sphere)
 
-
-def from_utm(east: Column, north: Column, zone: int, let: Callable = _inline, pair: Callable = lambda x, y: (x, y)):
-    """Longitude and latitude in degrees."""
-
-    def turned(x: Column, y: Column):
-        return let([x, y, *_double(x, y)], sphere)
-
-    def sphere(x: Column, y: Column, *double: Column):
-        across, along = _twofold(BACKWARD, *double)
-        return let([x - along, y - across], conformal)
-
-    def conformal(x: Column, y: Column):
-        return let([F.asin(F.sin(x) / F.cosh(y)), F.atan2(F.sinh(y), F.cos(x))], doubled)
-
-    def doubled(c: Column, across: Column):
-        return let([c, across, F.sin(2 * c), F.cos(2 * c)], degrees)
-
-    def degrees(c: Column, across: Column, sine: Column, cosine: Column):
-        more = sine * _sum(LATITUDE, _multiples(cosine)[1], [F.lit(1.0)] * 4)
-        return pair(central(zone) + F.degrees(across), F.degrees(c + more))
-
-    return let([north / (SCALE * RECTIFYING), (east - EASTING) / (SCALE * RECTIFYING)], turned)
+def from_utm(east: Column, north: Column, zone: int) -> tuple[Column, Column]:
+    """Longitude and latitude in degrees; in plain projections, as ``to_utm``."""
+    x, y = north / (SCALE * RECTIFYING), (east - EASTING) / (SCALE * RECTIFYING)
+    across, along = _twofold(BACKWARD, x, y)
+    x1, y1 = x - along, y - across
+    c = F.asin(F.sin(x1) / F.cosh(y1))
+    lat = c + F.sin(2 * c) * _sum(LATITUDE, _multiples(F.cos(2 * c))[1], [F.lit(1.0)] * len(LATITUDE))
+    return central(zone) + F.degrees(F.atan2(F.sinh(y1), F.cos(x1))), F.degrees(lat)
 
 
 def edge_points(left: Column, bottom: Column, right: Column, top: Column, added: int = 21) -> Column:
@@ -143,16 +101,16 @@ def edge_points(left: Column, bottom: Column, right: Column, top: Column, added:
     return F.concat(*sides)
 
 
-def bounds(points: Column, to: Callable, zone: int) -> Column:
-    """A struct of left, bottom, right and top of points after ``to_utm`` or ``from_utm``: one fold of an array, without a
-    shuffle, in which each point is projected once."""
+def bounds(boxes: DataFrame, keys: list[str], points: Column, to: Callable, zone: int, names: tuple[str, str, str, str]) -> DataFrame:
+    """The ``keys`` of boxes with the left, bottom, right and top of their points after ``to_utm`` or ``from_utm``, as ``names``.
 
-    def ends(moved: Column) -> Column:
-        x, y = F.transform(moved, lambda p: p["x"]), F.transform(moved, lambda p: p["y"])
-        folds = (F.array_min(x), F.array_min(y), F.array_max(x), F.array_max(y))
-        return F.struct(*[f.alias(n) for f, n in zip(folds, ("left", "bottom", "right", "top"))])
-
-    return _let(F.transform(points, lambda p: to(p["x"], p["y"], zone, _let_all, _pair)), ends)
+    Points become rows, so that compiled code projects them; each task folds its own first, and one row a box is shuffled, none
+    if the boxes lie by their keys already. Boxes with equal keys are one; null points count for nothing.
+    """
+    each = boxes.select(*keys, F.explode(points).alias("p"))
+    x, y = to(F.col("p.x"), F.col("p.y"), zone)
+    each = each.select(*keys, x.alias("x"), y.alias("y"))
+    return each.groupBy(*keys).agg(*[f(c).alias(n) for f, c, n in zip((F.min, F.min, F.max, F.max), "xyxy", names)])
 
 
 def snapped(low: Column, high: Column, step: Column, origin: float) -> tuple[Column, Column]:
@@ -160,6 +118,11 @@ def snapped(low: Column, high: Column, step: Column, origin: float) -> tuple[Col
     return F.floor((low - origin) / step) * step + origin, F.ceil((high - origin) / step) * step + origin
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def geodesic_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column, rounds: int = 10) -> Column:
     """Length in metres of the shortest line on the ellipsoid, by Vincenty's inverse formula with ``rounds`` rounds.
 

@@ -47,8 +47,7 @@ def grids(spark: SparkSession, sf: str) -> DataFrame:
     b = boxes(spark, sf)
     lon, lat, half = F.col("lon"), F.col("lat"), F.col("half")
     points = G.edge_points(lon - half, lat - half, lon + half, lat + half)
-    b = b.select("id", G.bounds(points, G.to_utm, ZONE).alias("b"))
-    b = b.select("id", *[F.col(f"b.{x}").alias(n) for x, n in zip(("left", "bottom", "right", "top"), ("x0", "y0", "x1", "y1"))])
+    b = G.bounds(b, ["id"], points, G.to_utm, ZONE, ("x0", "y0", "x1", "y1"))
     side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
     b = b.withColumn("step", 30.0 * F.greatest(F.lit(1), F.ceil(side / (30.0 * 512))))
     (l, r), (d, t) = (G.snapped(F.col(a), F.col(z), F.col("step"), 15.0) for a, z in (("x0", "x1"), ("y0", "y1")))
@@ -75,8 +74,9 @@ _Y = f"((u-500000)/{G.SCALE * G.RECTIFYING!r})"
 def grid_lonlat_bounds(spark: SparkSession, sf: str) -> DataFrame:
     """Each grid's bounds in degrees, from its corners and 21 points along each side."""
     points = G.edge_points(*map(F.col, ("gl", "gb", "gr", "gt")))
-    found = grids(spark, sf).select("id", G.bounds(points, G.from_utm, ZONE).alias("b"))
-    return found.select("id", *[F.round(f"b.{x}", 7).alias(n) for x, n in zip(("left", "bottom", "right", "top"), ("west", "south", "east", "north"))])
+    names = ("west", "south", "east", "north")
+    found = G.bounds(grids(spark, sf), ["id"], points, G.from_utm, ZONE, names)
+    return found.select("id", *[F.round(n, 7).alias(n) for n in names])
 
 
 _F = repr(G.FLATTENING)
