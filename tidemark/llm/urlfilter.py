@@ -113,7 +113,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | None =
     Addresses leave out scheme and fragment and are taken as written (no dot segments are resolved); of a page's
     canonical links the first counts, of its refreshes too. A url that is null or has no ``://`` has an empty host
     and path and no aliases. Rules become one expression, so their list is a parameter and not a table; pages are not
-    shuffled unless the addresses in links are too many to broadcast, and then only to join them.
+    shuffled unless the addresses in links are too many to broadcast, and then only to join them; pages that look no address
+    up (a rule decides them, or they have none) are then dealt out by a hash.
     """
     rest = after_scheme(F.col("url"))
     name, verdict = matched(rules, F.col("host"), F.col("path"))
@@ -124,6 +125,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | None =
     decided = known.groupBy("root").agg(F.bool_or(F.col("own") == "allow").alias("allow"), F.bool_or(F.col("own") == "block").alias("block"))
     decided = decided.select("root", F.when(F.col("allow"), "allow").when(F.col("block"), "block").alias("passed")).where("passed is not null")
     passed = known.where("own is null").join(decided, "root").select("node", "passed")
-    own = F.when(F.col("own").isNull(), address(F.col("rest"))).alias("node")  # what a rule decides looks up no alias
-    out = named.select("page_id", "host", "path", "rule", "own", own).join(passed, "node", "left")
+    asks = F.when(F.col("own").isNull(), address(F.col("rest")))  # what a rule decides looks up no alias
+    spread = F.concat(F.lit("/"), F.xxhash64("page_id", "rest").cast("string"))  # no address begins so: such rows are dealt out evenly
+    out = named.select("page_id", "host", "path", "rule", "own", F.coalesce(asks, spread).alias("node")).join(passed, "node", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("own", "passed", F.lit(default)).alias("verdict"))
