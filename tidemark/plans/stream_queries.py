@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query
+from tidemark.session import shared_folder
 from tidemark.sources.roles import table
-from tidemark.streaming import runs, stateful
+from tidemark.streaming import ledger, runs, stateful
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,3 +76,32 @@ def stream_set_aside(spark: SparkSession, sf: str) -> DataFrame:
     good, aside = stateful.set_aside(events(spark, sf), why)
     both = good.select("event_id", F.lit("kept").alias("state")).unionByName(aside.select("event_id", F.col("reason").alias("state")))
     return both.groupBy("state").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+
+
+@query(
+    """WITH n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, CAST(o_orderdate AS DATE) ORDER BY o_orderkey DESC) AS k FROM orders)
+ SELECT CAST(year(o_orderdate) AS INT) AS year, count(*) AS n, CAST(sum(CAST(round(o_totalprice*100) AS BIGINT)) AS BIGINT) AS cents FROM n WHERE k=1 GROUP BY 1"""
+)
+def stream_ingest_years(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders brought by year in two runs, of which the second finds nothing new; a customer's last order of a day stands."""
+    base = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    cents = F.round(F.col("o_totalprice") * 100).cast("long").alias("cents")
+    for _ in range(2):
+        rows = runs.read(spark, f"{sf}/orders.parquet").select("o_custkey", F.to_date("o_orderdate").alias("day"), "o_orderkey", cents)
+        ledger.bring(rows, base, F.col("day"))
+    stand = ledger.newest(ledger.brought(spark, base, rows.schema), ["o_custkey", "day"], ["o_orderkey", "batch"])
+    return stand.groupBy("year").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
+
+
+@query(
+    """WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, sum(CAST(round(value*10000) AS BIGINT))/1e4 AS total FROM events WHERE ts IS NOT NULL GROUP BY 1,2)
+ SELECT * FROM d WHERE day<=(SELECT max(day) FROM d)-7"""
+)
+def stream_final_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily totals by kind, brought as they change; the last seven days are not final and left out."""
+    base = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    late = runs.span(table(spark, sf, "events"))
+    days = ledger.daily_totals(events(spark, sf), ["event_type"], F.round(F.col("value") * 10000).cast("long"), late)
+    ledger.bring(days, base, F.col("day"), "update")
+    now = ledger.newest(ledger.brought(spark, base, days.schema), ["day", "event_type"], ["batch"])
+    return ledger.final(now).select("day", "event_type", "n", (F.col("total") / 1e4).alias("total"))
