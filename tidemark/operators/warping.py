@@ -83,14 +83,12 @@ def places(targets: DataFrame, sources: DataFrame, keys: list[str], to: Projecti
 def nearest(asked: DataFrame, pixels: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Of ``places`` -> ``(keys..., row, col, values...)``, from the source pixel that a centre lies in; null outside.
 
-    Places outside their source ask for nothing and don't travel to the join.
+    Places outside their source ask for rows above it, which no source has, each for its own: they meet nothing and share no key.
     """
-    inside = asked.where("u is not null").select(*keys, "row", "col", F.floor("v").cast("int").alias("s_row"), F.floor("u").cast("int").alias("s_col"))
-    have = pixels.select(*keys, F.col("row").alias("s_row"), F.col("col").alias("s_col"), *values)
-    met = inside.join(have, [*keys, "s_row", "s_col"], "left").select(*keys, "row", "col", *values)
-    types = {f.name: f.dataType for f in pixels.schema}
-    outside = asked.where("u is null").select(*keys, "row", "col", *[F.lit(None).cast(types[v]).alias(v) for v in values])
-    return met.unionByName(outside)
+    s_row = F.coalesce(F.floor("v").cast("int"), -1 - F.col("row")).alias("s_row")
+    asks = asked.select(*keys, "row", "col", s_row, F.coalesce(F.floor("u").cast("int"), "col").alias("s_col"))
+    have = pixels.where("row >= 0").select(*keys, F.col("row").alias("s_row"), F.col("col").alias("s_col"), *values)
+    return asks.join(have, [*keys, "s_row", "s_col"], "left").select(*keys, "row", "col", *values)
 
 
 def bilinear(asked: DataFrame, pixels: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
