@@ -44,7 +44,7 @@ def newest(rows: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
     """Of the rows of a key the one with the greatest ``version``, of equal ones the greatest by the other columns; null
     versions are the least, and rows with null keys are a key like any other.
 
-    A maximum, not a sort: tasks fold their own rows first, and a key with a third of all rows sends a row a task.
+    Tasks fold their own rows first, so a key with a third of all rows sends a row a task; no key's rows are gathered.
     """
     rest = [c for c in rows.columns if c not in keys and c not in version]
     top = F.max(F.struct(*version, *rest)).alias("top")
