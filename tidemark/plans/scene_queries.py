@@ -368,12 +368,14 @@ def mix_summary(spark: SparkSession, sf: str) -> DataFrame:
  SELECT way, round(coalesce(sum(2*6371.0088*asin(sqrt(least(1.0,pow(sin(radians(lat-lat0)/2),2)+cos(radians(lat0))*cos(radians(lat))*pow(sin(radians(lon-lon0)/2),2))))),0),3) AS km, arg_min(event_id, pow(lon-79.1,2)+pow(lat-28.2,2)) AS head, arg_max(event_id, pow(lon-79.1,2)+pow(lat-28.2,2)) AS mouth FROM s GROUP BY 1"""
 )
 def course_length(spark: SparkSession, sf: str) -> DataFrame:
-    """Length of each way along the sphere, and the points nearest to and farthest from a reference."""
+    """Length of each way along the sphere, and the points nearest to and farthest from a reference; of points
+    equally far away, the first on the way."""
     p = table(spark, sf, "events").select(F.col("user_id").alias("way"), "ts", "event_id", (79 + F.col("value") / 1000).alias("lon"), (28 + (F.col("event_id") % 100) / 100.0).alias("lat"))
     w = W.partitionBy("way").orderBy("ts", "event_id")
-    s = p.withColumn("km", S.haversine_km(F.lag("lon").over(w), F.lag("lat").over(w), F.col("lon"), F.col("lat")))
+    s = p.withColumn("km", S.haversine_km(F.lag("lon").over(w), F.lag("lat").over(w), F.col("lon"), F.col("lat"))).withColumn("at", F.row_number().over(w))
     away = F.pow(F.col("lon") - 79.1, 2) + F.pow(F.col("lat") - 28.2, 2)
-    return s.groupBy("way").agg(F.round(F.coalesce(F.sum("km"), F.lit(0.0)), 3).alias("km"), F.min_by("event_id", away).alias("head"), F.max_by("event_id", away).alias("mouth"))
+    near, far = (F.when(away.isNotNull(), F.struct(away, at)) for at in (F.col("at"), -F.col("at")))
+    return s.groupBy("way").agg(F.round(F.coalesce(F.sum("km"), F.lit(0.0)), 3).alias("km"), F.min_by("event_id", near).alias("head"), F.max_by("event_id", far).alias("mouth"))
 
 
 @query(
