@@ -61,7 +61,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the digest of what they decode to."""
-    made = automaton.encode_and_decode(docs, tokenizer("word_bpe_49k.json"), keep_ids=True)
+    made = automaton.encode_and_decode(docs, tokenizer("word_bpe_49k.json"), keep_ids=True, keep_tables=False)
     return made.select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 

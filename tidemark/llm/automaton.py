@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import json
 import re
@@ -298,12 +299,20 @@ def encoder_of(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def encode_and_decode(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
+def release() -> None:
+    """Drop this process's encoders, and give their memory back where the C library can."""
+    encoder_of.cache_clear()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def encode_and_decode(docs: DataFrame, path: str, keep_ids: bool = False, keep_tables: bool = True) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids])``, a row for each row.
 
     ``path``: the vocabulary's JSON file, at the same place on every machine. A null text counts as empty: no tokens,
     and the digests of nothing. Repeated rows give repeated rows; other columns of ``docs`` are ignored. With
     ``keep_ids`` the ids come along. Each task holds one automaton and a bounded memo of words; texts are taken whole.
+    Without ``keep_tables`` a worker process drops them after each task, for what other steps it runs.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,6 +333,9 @@ def encode_and_decode(docs: DataFrame, path: str, keep_ids: bool = False) -> Dat
                     columns.append(pa.array(rows[3], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        if not keep_tables:
+            del encoder
+            release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
