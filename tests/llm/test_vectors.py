@@ -47,6 +47,38 @@ def test_top_k_edge_rows(spark):
     assert vectors.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_no_vector_passes_the_driver(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(1000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for limit in ("10m", "-1"):
+        made = vectors.top_k(df, F.col("vec_id") % 50 == 0, query_block=4, row_block=16)
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            assert {tuple(r) for r in made.collect()} == brute_top(rows, 5)
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=true" in plan and "Broadcast" not in plan and "Join" not in plan
+
+
+def test_top_k_of_repeated_ids_and_of_huge_components(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    rows = [(i, [rng.choice([-1.0, 0.5, 0.25]) for _ in range(6)]) for i in range(120)]
+    rows += [(7, [x + 0.25 * j for x in v]) for j in range(40) for _, v in rows[50:51]]
+    rows += [(i, [rng.choice([-2.0, 1.0]) for _ in range(6)]) for i in (60, 60, 61, 61, 61)]
+    rows += [(i, [1.0, *(rng.choice([-1e200, 1e200, 0.0]) for _ in range(6))]) for i in range(200, 260)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vectors.top_k(df, F.col("vec_id") % 50 == 0, k=3, query_block=2, row_block=16).collect()
+    want = brute_top(rows, 3)
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def brute_links(rows, least=0.98):
     unit = []
     for _, v, label in rows:

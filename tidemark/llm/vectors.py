@@ -35,6 +35,16 @@ def segment_statistics(vectors: np.ndarray, segments: int) -> tuple[np.ndarray,
     return np.stack([p.mean(1) for p in parts], 1), np.stack([p.std(1) for p in parts], 1), np.diff(cuts).astype(float)
 
 
+def _best(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the scored pairs are the ``k`` best different ids of each query, query by query in order, and their ranks from 0."""
+    order = np.lexsort((~scores, ids, q))
+    again = (np.diff(q[order]) == 0) & (np.diff(ids[order]) == 0)
+    kept = order[np.concatenate([np.ones(len(order[:1]), bool), ~again])]
+    kept = kept[np.lexsort((ids[kept], ~scores[kept], q[kept]))]
+    rank = np.arange(len(kept)) - np.searchsorted(q[kept], q[kept])
+    return kept[rank < k], rank[rank < k]
+
+
 class SegmentIndex:
     """Rows with their segment statistics at several resolutions.
 
@@ -43,20 +53,21 @@ class SegmentIndex:
     deviations). Splitting a segment only tightens the bound.
     """
 
-    def __init__(self, vectors: np.ndarray, levels: tuple[int, ...] = (1, 4, 16, 32)) -> None:
+    def __init__(self, vectors: np.ndarray, levels: tuple[int, ...] = (1, 4, 16, 32, 48)) -> None:
         self.vectors = vectors
-        self.top = float(np.abs(vectors).max(initial=0))
-        levels = tuple(sorted({min(x, vectors.shape[1]) for x in levels if vectors.shape[1]}))
-        self.forms = []
-        for level in levels:
-            mean, deviation, length = segment_statistics(vectors, level)
-            root = np.sqrt(length)
-            self.forms.append(np.concatenate([mean * root, deviation * root], axis=1))
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.norms = np.linalg.norm(vectors, axis=1)
+            levels = tuple(sorted({min(x, vectors.shape[1]) for x in levels if vectors.shape[1]}))
+            self.forms = []
+            for level in levels:
+                mean, deviation, length = segment_statistics(vectors, level)
+                root = np.sqrt(length)
+                self.forms.append(np.concatenate([mean * root, (deviation * root)[:, length > 1]], axis=1))
 
     def exact(self, queries: np.ndarray, q: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Inner products of pairs as Python-exact integers where doubles would round."""
         a, b = queries[q], self.vectors[c]
-        if len(a) and np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1] >= 2.0**53:
+        if len(a) and float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1] >= 2.0**53:
             whole = [sum(int(x) * int(y) for x, y in zip(u, v)) for u, v in zip(a, b)]
             return np.array([min(max(w, -(2**63)), 2**63 - 1) for w in whole], np.int64)
         return np.einsum("ij,ij->i", a, b).astype(np.int64)
@@ -66,74 +77,66 @@ class SegmentIndex:
     ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For queries ``other`` with ids ``own``, the k best of these rows: query numbers, row numbers, scores.
 
-        ``floor``: scores that k other rows of each query are known to reach; rows that cannot reach it are left out.
-        It is raised in place. ``pairs`` keeps how many pairs there were, and were left at each level.
+        ``floor``: scores that k other ids are known to reach for each query; rows that cannot reach it are left out.
+        It is raised in place. ``pairs`` keeps how many pairs there were, and were left at each level. Of rows that
+        share an id the best counts.
         """
-        none = np.zeros(0, np.int64)
         floor = np.full(len(own), -np.inf) if floor is None else floor
-        same = own[:, None] == ids[None, :]
-        q, c = np.nonzero(~same)
-        self.pairs = [len(q)]
-        if not self.forms:
-            scores = np.zeros(len(q), np.int64)
-        elif not len(q):
-            return none, none, none
-        else:
-            scale = np.linalg.norm(other.vectors, axis=1)[:, None] * np.linalg.norm(self.vectors, axis=1)[None, :]
-            scale = 1e-9 * scale + 1e-6
-            bound = other.forms[-1] @ self.forms[-1].T  # only to choose the rows that set the floor
-            bound[same] = -np.inf
-            m = min(k, bound.shape[1])
-            lead = np.argpartition(-bound, m - 1, axis=1)[:, :m]
-            if m == k:
-                first = self.exact(other.vectors, np.repeat(np.arange(len(lead)), m), lead.ravel()).reshape(lead.shape).astype(float)
-                first[~np.isfinite(np.take_along_axis(bound, lead, 1))] = -np.inf
-                first = first.min(axis=1)
-                np.maximum(floor, first - np.abs(first) * 1e-12, out=floor)
-            alive = ~same
-            for mine, theirs in zip(self.forms, other.forms):
-                alive &= theirs @ mine.T + scale >= floor[:, None]
-                self.pairs.append(int(alive.sum()))
-            q, c = np.nonzero(alive)
+        alive = np.ones((len(own), len(ids)), bool)
+        mine = np.flatnonzero(np.isin(own, ids))
+        alive[mine] = own[mine, None] != ids[None, :]
+        self.pairs = [int(alive.sum())]
+
+        def raise_floor(q: np.ndarray, c: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            best, rank = _best(q, ids[c], scores, k)
+            last = best[rank == k - 1]
+            reached = scores[last].astype(float)
+            floor[q[last]] = np.maximum(floor[q[last]], reached - np.abs(reached) * 1e-12)
+            return q[best], c[best], scores[best]
+
+        if self.forms and self.pairs[0]:
+            with np.errstate(over="ignore", invalid="ignore"):
+                if not np.isfinite(floor).all():
+                    # Only to set the floor: some rows that the finest bound puts first.
+                    bound = np.where(alive, other.forms[-1] @ self.forms[-1].T, -np.inf)
+                    m = min(8 * k, bound.shape[1])
+                    lead = np.argpartition(-bound, m - 1, axis=1)[:, :m]
+                    q, at = np.nonzero(np.take_along_axis(alive, lead, 1))
+                    raise_floor(q, lead[q, at], self.exact(other.vectors, q, lead[q, at]))
+                slack = 1e-9 * other.norms * self.norms.max() + 1e-6
+                need = (floor - slack)[:, None]
+                for theirs, ours in zip(other.forms, self.forms):
+                    alive &= ~(theirs @ ours.T < need)  # what cannot be compared stays
+                    self.pairs.append(int(alive.sum()))
+        q, c = np.nonzero(alive)
+        if self.forms:
             steps = range(0, len(q), 1 << 18)
-            scores = np.concatenate([self.exact(other.vectors, q[i : i + (1 << 18)], c[i : i + (1 << 18)]) for i in steps] or [none])
-        order = np.lexsort((ids[c], ~scores, q))
-        q, c, scores = q[order], c[order], scores[order]
-        starts = np.searchsorted(q, np.arange(len(own)))
-        rank = np.arange(len(q)) - starts[q] if len(q) else none
-        return q[rank < k], c[rank < k], scores[rank < k]
-
-
-def _pack(size: int, block: str):
-    """Rows of (dim, block, vec_id, vector), blocks together -> a row with up to ``size`` ids and vectors each."""
+            scores = np.concatenate([np.zeros(0, np.int64), *[self.exact(other.vectors, q[i : i + (1 << 18)], c[i : i + (1 << 18)]) for i in steps]])
+        else:
+            scores = np.zeros(len(q), np.int64)
+        near = scores >= floor[q]
+        return raise_floor(q[near], c[near], scores[near])
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, ids, rows = None, [], []
 
-        def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([held_key[0]], pa.int32()),
-                    pa.array([held_key[1]], pa.int64()),
-                    pa.array([np.array(ids, "<i8").tobytes()], pa.binary()),
-                    pa.array([np.array(rows, "<f8").tobytes()], pa.binary()),
-                ],
-                names=["dim", block, "ids", "vectors"],
-            )
+def _blocks(ids: list[np.ndarray], vectors: list[np.ndarray], size: int) -> list[tuple[np.ndarray, SegmentIndex]]:
+    """All rows in blocks of at most ``size``."""
+    every, whole = np.concatenate(ids), np.concatenate(vectors)
+    return [(every[at : at + size], SegmentIndex(whole[at : at + size])) for at in range(0, len(every), size)]
 
-        for batch in batches:
-            vectors = batch.column(3).to_pylist()
-            for d, b, i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), vectors):
-                if ids and ((d, b) != held_key or len(ids) >= size):
-                    yield made()
-                    ids, rows = [], []
-                held_key = (d, b)
-                ids.append(i)
-                rows.append(v)
-        if ids:
-            yield made()
 
-    return pack
+def _ask(blocks: list[tuple[np.ndarray, SegmentIndex]], own: np.ndarray, vectors: np.ndarray, k: int) -> pa.RecordBatch:
+    """``(query_id, vec_id, score)``: the k best ids of all blocks for each query; the floor goes from block to block."""
+    queries, floor = SegmentIndex(vectors), np.full(len(own), -np.inf)
+    q = found = scores = np.zeros(0, np.int64)
+    for ids, block in blocks:
+        more, c, s = block.search(queries, own, ids, k, floor)
+        q, found, scores = np.concatenate([q, more]), np.concatenate([found, ids[c]]), np.concatenate([scores, s])
+        best, rank = _best(q, found, scores, k)
+        q, found, scores = q[best], found[best], scores[best]
+        last = scores[rank == k - 1].astype(float)
+        full = q[rank == k - 1]
+        floor[full] = np.maximum(floor[full], last - np.abs(last) * 1e-12)
+    return pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(found), pa.array(scores)], names=["query_id", "vec_id", "score"])
 
 
 def top_k(
@@ -146,10 +149,11 @@ def top_k(
     query's own id; ties go to the smaller vec_id. Rows that are null or hold null, non-finite or (after scaling)
     infinite components, or have a null id, take no part; repeated ids count once, with their best score.
 
-    Queries and rows are packed in blocks of bounded size, every block of queries meets every block of rows, and
-    within a pair bounds from segment statistics, coarse to fine, decide which pairs are scored exactly. How many those
-    are depends on the data: vectors without structure, as random ones are, survive all but the finest level. Each pair
-    of blocks sends on at most k rows a query.
+    Rows are dealt by a hash into groups of about 4 million components at most, one for each task, which holds its group
+    in blocks. Every query goes to every group and streams past the blocks; bounds from segment statistics, coarse to
+    fine, decide which pairs are scored exactly. How many those are depends on the data: vectors without structure, as
+    random ones are, survive all but the finest levels. Each group sends on at most k rows a query. Nothing is joined and
+    no vector passes the driver; rows are shuffled once, queries once for each group.
     """
     scaled = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(
         F.col("vec_id").cast("long").alias("vec_id"),
@@ -158,52 +162,38 @@ def top_k(
     )
     scaled = scaled.where(usable(F.col("v"))).select("vec_id", "is_query", F.size("v").alias("dim"), "v").distinct()
     scaled = materialize(scaled)
-    counts = {r["dim"]: (r["n"], r["q"]) for r in scaled.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).collect()}
-    if not counts:
-        return scaled.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score"))
-
-    def blocks(which: int, size: int) -> Column:
-        many = F.create_map(*[F.lit(x) for d, n in counts.items() for x in (d, max(1, -(-n[which] // size)))])
-        return many[F.col("dim")].cast("long")
-
-    spark = scaled.sparkSession
-
-    def packed(rows: DataFrame, which: int, size: int, name: str) -> DataFrame:
-        marked = rows.select("dim", F.pmod(F.xxhash64("vec_id"), blocks(which, size)).alias(name), "vec_id", "v")
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = marked.repartition(max(parts, 1), "dim", name).sortWithinPartitions("dim", name, "vec_id")
-        return dealt.mapInArrow(_pack(2 * size, name), f"dim int, {name} long, ids binary, vectors binary")
-
-    candidates = packed(scaled, 0, row_block, "row_block")
-    asked = packed(scaled.where("is_query"), 1, query_block, "query_block")
-    asked = asked.select(
-        "dim",
-        F.col("ids").alias("query_ids"),
-        F.col("vectors").alias("query_vectors"),
-        F.explode(F.sequence(F.lit(0).cast("long"), blocks(0, row_block) - 1)).alias("row_block"),
-    )
-    pairs = asked.join(candidates, ["dim", "row_block"])
+    n, components = scaled.agg(F.count("*"), F.sum(F.greatest(F.lit(16), "dim").cast("long"))).first()
+    # Small tables: as many groups as tasks are usual, of two blocks at least.
+    usual = int(scaled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(1, -(-(components or 0) // (1 << 22)), min(usual, -(-n // (2 * row_block))))
+    rows = scaled.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(groups)).cast("int").alias("group"), "dim", F.lit(False).alias("asks"), "vec_id", "v")
+    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    asked = scaled.where("is_query").select(every.alias("group"), "dim", F.lit(True).alias("asks"), "vec_id", "v")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floors: dict[bytes, np.ndarray] = {}  # what blocks of queries have reached in this task
+        """Of each length, first the group's rows, then the queries."""
+        held, ids, parts, blocks = -1, [], [], []
         for batch in batches:
-            for row in batch.to_pylist():
-                dim = row["dim"]
-                own, ids = np.frombuffer(row["query_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
-                mine = SegmentIndex(np.floor(np.frombuffer(row["vectors"], "<f8").reshape(len(ids), dim)))
-                theirs = SegmentIndex(np.floor(np.frombuffer(row["query_vectors"], "<f8").reshape(len(own), dim)))
-                floor = floors.setdefault(row["query_ids"], np.full(len(own), -np.inf))
-                q, c, s = mine.search(theirs, own, ids, k, floor)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[q]), pa.array(ids[c]), pa.array(s)], names=["query_id", "vec_id", "score"]
-                )
-
-    total = sum(-(-n // row_block) * -(-max(q, 1) // query_block) for n, q in counts.values())
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 16))  # a task holds some pairs at once
-    # Sixteen blocks of rows meet one block of queries in a task, which carries the floor from one to the next.
-    turn = F.floor(F.col("row_block") / 16)
-    dealt = pairs.repartition(parts, "dim", turn, F.xxhash64("query_ids")).sortWithinPartitions("dim", "query_ids")
-    found = dealt.mapInArrow(score, "query_id long, vec_id long, score long")
+            dims, asks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            edges = [0, *(np.flatnonzero((np.diff(dims) != 0) | (asks[1:] != asks[:-1])) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if dims[a] != held:
+                    held, ids, parts, blocks = int(dims[a]), [], [], []
+                own, v = batch.column(2).slice(a, b - a).to_numpy(), np.floor(_matrix(batch.column(3).slice(a, b - a)))
+                if not asks[a]:
+                    ids.append(own)
+                    parts.append(v)
+                    continue
+                if ids:
+                    blocks = _blocks(ids, parts, min(row_block, max(16, (1 << 18) // max(1, held))))
+                    ids, parts = [], []
+                for at in range(0, len(own) if blocks else 0, query_block):
+                    yield _ask(blocks, own[at : at + query_block], v[at : at + query_block], k)
+
+    dealt = rows.unionByName(asked).repartitionById(groups, "group").sortWithinPartitions("dim", "asks")
+    found = dealt.select("dim", "asks", "vec_id", "v").mapInArrow(score, "query_id long, vec_id long, score long")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     lists = best.groupBy("query_id").agg(F.collect_list(F.struct((-F.col("score").cast("decimal(20,0)")).alias("low"), "vec_id", "score")).alias("all"))
     ranked = lists.select("query_id", F.posexplode(F.slice(F.array_sort("all"), 1, k)).alias("place", "hit"))
